@@ -9,10 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import exact_dedup, minhash
+from tessella.llm import bpe, exact_dedup, minhash, mixing, quality
 from tessella.llm.common import Scratch, documents
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
     return exact_dedup.keep_first(docs)
@@ -23,7 +28,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.keep_one(docs)
 
 
-STAGES = [("exact_dedup", exact), ("minhash_dedup", near)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, and digests of them and of what they decode to."""
+    return bpe.op6(spark, docs)
+
+
+STAGES = [("quality", good), ("exact_dedup", exact), ("minhash_dedup", near), ("mixing", mixed), ("bpe", encoded)]
 
 #: Near-duplicate components and byte-pair ids are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, exact_dedup, minhash, mixing, token_counts, token_store
+from tessella.llm import bpe, exact_dedup, minhash, mixing, quality, secrets, token_counts, token_store
 from tessella.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,9 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": _on_documents(token_counts.op2),
     "op3_exact_dedup": _on_documents(exact_dedup.op3),
     "op4_token_store": _on_documents(token_store.op4),
+    "op5_quality": _on_documents(quality.op5),
     "op6_bpe": _on_documents(bpe.op6),
+    "op7_secrets": _on_documents(secrets.op7),
     "op8_mixing": _on_documents(mixing.op8),
     "op9_minhash": _on_documents(minhash.op9),
 }

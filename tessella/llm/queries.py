@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, exact_dedup, minhash, mixing, quality, secrets, token_counts, token_store
+from tessella.llm import bpe, exact_dedup, licenses, minhash, mixing, quality, secrets, token_counts, token_store
 from tessella.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def _on_documents(operator: Callable[[SparkSession, DataFrame], DataFrame]) -> Q
 
 
 QUERIES: dict[str, Query] = {
+    "op1_licenses": _on_documents(licenses.op1),
     "op2_token_counts": _on_documents(token_counts.op2),
     "op3_exact_dedup": _on_documents(exact_dedup.op3),
     "op4_token_store": _on_documents(token_store.op4),

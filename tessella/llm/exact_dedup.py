@@ -49,6 +49,8 @@ class DigestIndex:
     def add(self, batch: DataFrame) -> None:
         """Append the digests of ``batch`` (doc_id, digest) that the index lacks; of equal ones the largest id stays."""
         found = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("copies"))
+        # Written first: Catalyst would move the anti-join below the sums, and every copy would be shuffled.
+        found = Scratch(self.spark, "exact").table(found, "sums")
         fresh = found.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
         (
             fresh.repartition(self.buckets, "digest")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, exact_dedup, licenses, minhash, mixing, quality, secrets, token_counts, token_store
+from tessella.llm import bpe, exact_dedup, licenses, line_dedup, minhash, mixing, quality, secrets, token_counts, token_store
 from tessella.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,7 @@ QUERIES: dict[str, Query] = {
     "op7_secrets": _on_documents(secrets.op7),
     "op8_mixing": _on_documents(mixing.op8),
     "op9_minhash": _on_documents(minhash.op9),
+    "op10_line_dedup": _on_documents(line_dedup.op10),
 }
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

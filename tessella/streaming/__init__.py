@@ -1,0 +1 @@
+"""Splitting data that keeps arriving."""

@@ -25,6 +25,16 @@ _WHITE = r"\t-\r\x20\x85\xa0"
 _ELSEWHERE = "".join(chr(c) for c in range(0x250) if len(chr(c).lower()) > 1 or chr(c).lower() > "\u024f")
 _OTHER = re.compile(f"[^\x00-\u024f]|[{_ELSEWHERE}]")
 
+
+def is_plain(text: str) -> bool:
+    """Whether the classes above hold for every code point; those below U+0100 are told by encoding, which is quick."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _OTHER.search(text) is None
+    return True
+
+
 #: The splitters of the two kinds of file, with the classes above.
 _SPLIT = {
     "byte": re.compile(
@@ -33,8 +43,8 @@ _SPLIT = {
     "word": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_WHITE}{_LETTERS}{_DIGITS}]+"),
 }
 
-#: Pieces remembered by a Python worker.
-CACHE = 800_000
+#: Pieces remembered by a Python worker, besides as many that were met before.
+CACHE = 250_000
 
 
 def byte_names() -> list[str]:
@@ -81,7 +91,7 @@ class TokenizerFile:
 
     def pieces(self, segment: str) -> list[str]:
         """The pieces of a text without added tokens."""
-        if _OTHER.search(segment) is None:
+        if is_plain(segment):
             return self._split.findall(segment.lower() if self.kind == "word" else segment)
         if self.library.normalizer is not None:
             segment = self.library.normalizer.normalize_str(segment)

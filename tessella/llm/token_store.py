@@ -12,48 +12,129 @@ it in that range. The ids before a range are a running sum over ranges.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Scratch, partitions, ship, text_of
-from tessella.llm.pieces import CACHE, TokenizerFile, broadcast_file, opened, public_path
+from tessella.llm.pieces import NAMES, TokenizerFile, broadcast_file, opened, public_path
 
 #: Id 0 ends each document.
 END = 0
 #: Rows between entries of the row index, and bytes of a stripe.
 INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 * 2**20
-#: Texts whose pieces are looked up together, in characters.
-CHUNK = 1_000_000
+#: Texts whose words are told apart together, in bytes.
+CHUNK = 4_000_000
+
+#: Words remembered by a Python worker since it last set the older ones aside, and words encoded in one text.
+WORDS = 400_000
+TOGETHER = 2000
 
 ROW = "doc_id long, shard int, at long, n_tokens long, ids array<int>"
 
 
 class LibraryIds:
-    """The library's ids of whole texts. Pieces it has encoded before are remembered."""
+    """The library's ids of whole texts. Words it has encoded before, with the blank before them, are remembered.
+
+    Where a blank stands before anything but white space, the splitter begins a new
+    piece, whatever is around, so the ids of a text are those of its words in turn. A
+    text with other white space after a blank, or with a special token's string, goes
+    to the library as it is.
+    """
 
     def __init__(self, text: str):
         self.file = TokenizerFile(text)
         if self.file.kind != "byte":
-            raise ValueError("only byte-level files have pieces that stand for themselves")
+            raise ValueError("only byte-level files have words that stand for themselves")
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        cut = [[[s] if k % 2 else self.file.pieces(s) for k, s in enumerate(self.file.segments(t))] for t in texts]
-        new = {p for doc in cut for segment in doc for p in segment}.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = {p for doc in cut for segment in doc for p in segment}
-        new = list(new)
-        for piece, found in zip(new, self.file.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.asarray(found.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join([b"".join(map(get, segment)) for segment in doc]) for doc in cut]
+        self.older: dict[str, bytes] = {}
+        blank = NAMES[0x20]
+        self._begins = np.zeros(max([*self.file.vocab.values(), *self.file.added.values()]) + 1, bool)
+        self._begins[[i for name, i in self.file.vocab.items() if name.startswith(blank)]] = True
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", found.ids).tobytes() for found in self.file.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids with the blank before it. Many are encoded in one text: a token that begins with a blank begins a word."""
+        found = []
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            ids = np.array(self.file.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*(4 * np.flatnonzero(self._begins[ids])).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            found += [raw[a:b] for a, b in zip(ends, ends[1:])]
+        return found
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, remembered or new; none of the odd ones, which begin with white space or are empty."""
+        if len(self.known) + len(words) > WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        found = list(map(known.get, words))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        new = []
+        for k in gaps:
+            word = words[k]
+            if (ids := older.get(word)) is not None:
+                known[word] = found[k] = ids
+            elif word and not word[0].isspace():
+                new.append(k)
+        made = self._words([words[k] for k in new])
+        for k, ids in zip(new, made, strict=True):
+            known[words[k]] = found[k] = ids
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each has.
+
+        Words are told apart and put back together by Arrow; Python sees each distinct
+        one of the texts once.
+        """
+        split = pc.split_pattern(texts, " ")
+        starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        at = coded.indices.to_numpy().copy()
+        ids = self._ids(words)
+
+        # A text's first word has no blank before it: it is an entry of its own. So is a text that goes to the library as it is.
+        at[starts] = len(words) + np.arange(len(texts))
+        whole = np.zeros(len(texts), bool)
+        for added in self.file.added:
+            whole |= pc.match_substring(texts, added).to_numpy(zero_copy_only=False)
+        if None in ids:
+            odd = np.array([*(x is None for x in ids), *[False] * len(texts)])
+            whole |= np.add.reduceat(odd[at], starts) > 0
+        empty = len(words) + len(texts)
+        if whole.any():
+            inside = np.repeat(whole, np.diff([*starts, len(at)]))
+            inside[starts] = False
+            at[inside] = empty
+        heads = split.flatten().take(pa.array(starts)).to_pylist()
+        heads = [texts[k].as_py() if w else h for k, (h, w) in enumerate(zip(heads, whole.tolist(), strict=True))]
+        every = [x or b"" for x in ids] + self._library(heads) + [b""]
+
+        n = np.fromiter(map(len, every), np.int64, len(every)) // 4
+        entries = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(every), "<i4")))
+        return entries.take(pa.array(at)).flatten().to_numpy(), np.add.reduceat(n[at], starts)
+
+
+def _chunks(ids: pa.Array, texts: pa.Array):
+    """Slices of CHUNK bytes of text or, where one text is longer, of one text."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + CHUNK, "right")))
+        yield ids.slice(start, stop - start), texts.slice(start, stop - start)
+        start = stop
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,36 +147,19 @@ def write_tokens(docs: DataFrame, path: str, folder: str, shards: int | None = N
     spark = docs.sparkSession
     ship(spark)
     file = broadcast_file(spark, path)
-    end = np.asarray([END], "<u4").tobytes()
-
-    def chunks(texts):
-        chunk, size = [], 0
-        for t in texts:
-            chunk.append(t.as_py())
-            size += len(chunk[-1])
-            if size >= CHUNK:
-                yield chunk
-                chunk, size = [], 0
-        if chunk:
-            yield chunk
-
     def run(batches):
         library = opened(LibraryIds, file.value)
         shard, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            done = 0
-            for chunk in chunks(batch.column(1)):
-                ids = [found + end for found in library.encode(chunk)]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = at + np.cumsum(n)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(done, len(ids)), pa.array(np.full(len(ids), shard, np.int32)), pa.array(ends - n), pa.array(n), pa.ListArray.from_arrays(offsets, flat)],
-                    names=["doc_id", "shard", "at", "n_tokens", "ids"],
-                )
-                done += len(ids)
-                at = int(ends[-1])
+            for ids_of, texts in _chunks(batch.column(0), batch.column(1)):
+                flat, n = library.encode(texts)
+                ends = np.cumsum(n)
+                flat, n = np.insert(flat, ends, END), n + 1
+                ends = np.cumsum(n)
+                columns = [ids_of, pa.array(np.full(len(n), shard, np.int32)), pa.array(at + ends - n), pa.array(n)]
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.astype(np.int32, copy=False)))
+                yield pa.RecordBatch.from_arrays([*columns, ids], names=["doc_id", "shard", "at", "n_tokens", "ids"])
+                at += int(ends[-1])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     placed = picked.repartitionByRange(shards or partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import ship, text_of
 from tessella.llm.pieces import BYTES, CACHE, NAMES, TokenizerFile, broadcast_file, named, opened, public_path
 
-PAIR_CACHE = 2_000_000
+#: Pairs of neighbours whose test is remembered.
+PAIR_CACHE = 300_000
 
 
 class Codec(dict):
@@ -33,6 +34,7 @@ class Codec(dict):
 
     def __init__(self, text: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.file = file = TokenizerFile(text)
         if file.suffix or file.kind != "byte":
             raise ValueError("only byte-level files without word ends are encoded")
@@ -95,10 +97,13 @@ class Codec(dict):
         return found[::-1]
 
     def __missing__(self, piece: str) -> bytes:
+        if (found := self.older.get(piece)) is None:
+            ids = self.ids
+            found = array("I", [ids[k] for k in self.numbers(named(piece))]).tobytes()
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        ids = self.ids
-        self[piece] = found = array("I", [ids[k] for k in self.numbers(named(piece))]).tobytes()
+        self[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:

@@ -25,15 +25,19 @@ class Counter(dict):
 
     def __init__(self, text: str):
         super().__init__()
+        self.older: dict[str, int] = {}
         self.file = TokenizerFile(text)
         self.ranks = {pair: rank for rank, pair in reversed([*enumerate(self.file.merges)])}
 
     def __missing__(self, piece: str) -> int:
+        if (found := self.older.get(piece)) is None:
+            symbols = list(named(piece))
+            symbols[-1] += self.file.suffix
+            found = count_merged(symbols, self.ranks)
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        symbols = list(named(piece))
-        symbols[-1] += self.file.suffix
-        self[piece] = found = count_merged(symbols, self.ranks)
+        self[piece] = found
         return found
 
     def count(self, text: str) -> int:

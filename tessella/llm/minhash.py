@@ -8,12 +8,14 @@ How hot groups are kept from growing quadratically:
 
 * documents with the same set are one class, found by the set's digest; only one
   document of each class goes on;
-* inside a bucket no pairs are listed. A round takes one member of each bucket as its
-  centre (later rounds more, up to ``CENTERS``) and tests the others against it; linked
-  members get a common root. Later rounds only test members whose root still differs from a centre's, and
-  a member that has been a centre is done. The rounds end when every bucket has one
-  root or one member that has not been a centre: all pairs are then either confirmed,
-  refuted or known to be connected;
+* a bucket has a centre: the member that shares most bands with most documents. Its
+  members are tested against the centre alone, after a look at sketches, two bits of
+  every signature value; those linked get a common root;
+* only members that the centre's root didn't take are left to compare with the others of
+  the centre's buckets. Those comparisons are made block against block, by counting in
+  inverted lists of the block's sets, and return links alone: no pairs are listed, and a
+  task holds two blocks however large the group. Every pair that shares a bucket is
+  then confirmed, refuted or known to be connected;
 * roots are found by contracting the link graph in written tables. Nothing of it
   reaches the driver but counts.
 """
@@ -31,9 +33,14 @@ from tessella.llm.common import Scratch, ship
 PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
-CENTERS = 8
+#: Documents of a block, of those to compare and of those to compare them with.
+BLOCK, AGAINST = 128, 512
+#: Two bits of each signature value, 32 values to a long, and how many values may differ in them. At similarity 0.8
+#: 19 of 128 differ on average, with a deviation of 4: more than 42 with a probability near 1e-8.
+SKETCH = 2 * PERMUTATIONS // 32
+DIFFERENT = 42
 #: Words remembered by a Python worker, so that a frequent word is hashed once.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,8 +81,8 @@ def shingle_set(text: bytes | None, width: int = 2) -> np.ndarray:
     return np.unique(got)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Band keys: each hashes the minimum and maximum under two permutations, and the band's number."""
+def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys, each a hash of the minimum and maximum under two permutations and of the band's number; and the sketch."""
     low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
     high = np.zeros(PERMUTATIONS, np.uint64)
     for at in range(0, len(shingles), 4096):
@@ -85,26 +92,28 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         key = _mix(key * _G + rows[:, k])
-    return key
+    bits = (_mix(rows.ravel()) & np.uint64(3)).reshape(SKETCH, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
+    return key, np.bitwise_or.reduce(bits, axis=1)
 
 
 def signatures(docs: DataFrame, width: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, set_id, bands); set_id and bands are null for an empty set."""
+    """(doc_id, n_shingles, set_id, bands, sketch); the last three are null for an empty set."""
 
     def run(batches):
         for batch in batches:
-            n, ids, bands = [], [], []
+            n, ids, bands, sketches = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 found = shingle_set(text, width)
                 n.append(len(found))
                 ids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                bands.append(signature(found).view(np.int64) if len(found) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_id", "bands"],
-            )
+                keys, sketch = (x.view(np.int64) for x in signature(found)) if len(found) else (None, None)
+                bands.append(keys)
+                sketches.append(sketch)
+            longs = pa.list_(pa.int64())
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "bands", "sketch"])
 
-    return _picked(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return _picked(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>")
 
 
 def sets(docs: DataFrame, width: int = 2) -> DataFrame:
@@ -123,6 +132,15 @@ def _picked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def different(a: str, b: str) -> Column:
+    """Values that differ in two sketches, whose longs are the columns a0, a1, ... and b0, b1, ..."""
+    found = F.lit(0)
+    for k in range(SKETCH):
+        x = F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))
+        found = found + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return found
+
+
 def linked(a: Column, b: Column, percent: int) -> Column:
     both = F.size(F.array_intersect(a, b))
     return 100 * both >= percent * (F.size(a) + F.size(b) - both)
@@ -179,11 +197,18 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
 
     # One document for each distinct set; its links are those of all its copies.
     classes = scratch.table(known.groupBy("set_id").agg(F.min("doc_id").alias("cid")), "classes")
-    first = known.select("set_id", F.col("doc_id").alias("cid"), "bands").join(classes, ["set_id", "cid"], "left_semi")
+    first = known.select("set_id", F.col("doc_id").alias("cid"), "n_shingles", "bands", "sketch").join(classes, ["set_id", "cid"], "left_semi")
+    first = scratch.table(first, "first")
     members = first.select("cid", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi").select("key")
     shared = scratch.table(shared, "shared")
     open_ = scratch.table(members.join(shared, "key").distinct(), "members")
+    sketches = first.select("cid", "n_shingles", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH)]).dropDuplicates(["cid"])
+
+    # Whoever shares many bands with many is near the middle of its group, and a good centre for all of its buckets.
+    counts = scratch.table(open_.groupBy("key").agg(F.count("*").alias("n")), "counts")
+    middle = scratch.table(open_.join(counts, "key").groupBy("cid").agg(F.sum("n").alias("middle")), "middle")
+    open_ = scratch.table(open_.join(middle, "cid"), "members")
 
     wanted = scratch.table(open_.select("cid").distinct(), "wanted")
     again = docs.join(wanted, docs["doc_id"] == wanted["cid"], "left_semi")
@@ -194,26 +219,32 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
     twice = known.select("doc_id", "set_id").join(scratch.table(twice, "twice"), "doc_id", "left_semi")
     roots = contract(twice.join(classes, "set_id").select(F.col("cid").alias("a"), F.col("doc_id").alias("b")), scratch)
 
-    centers = 1
-    while True:
-        rooted = scratch.table(_with_roots(open_, roots), "rooted")
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-        mixed = scratch.table(mixed, "mixed")
-        if mixed.isEmpty():
-            break
-        rooted = scratch.table(rooted.join(mixed, "key", "left_semi"), "rooted")
-        part = F.pmod(F.xxhash64("cid"), F.lit(centers)).alias("part")
-        chosen = scratch.table(rooted.groupBy("key", part).agg(F.min("cid").alias("cid")).select("key", "cid"), "chosen")
-        at = _with_roots(chosen, roots).select("key", F.col("cid").alias("center"), F.col("root").alias("center_root"))
-        tests = rooted.join(scratch.table(at, "centers"), "key").filter("root <> center_root")
-        tests = scratch.table(tests.select(F.least("cid", "center").alias("a"), F.greatest("cid", "center").alias("b")).distinct(), "tests")
-        with_a = tests.join(texts.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
-        links = with_a.join(texts.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b").filter(linked(F.col("sa"), F.col("sb"), percent))
-        links = scratch.table(links.select("a", "b"), "links")
-        ends = _with_roots(links.select(F.col("a").alias("cid"), "b"), roots).select(F.col("root").alias("a"), F.col("b").alias("cid"))
-        roots = merge_roots(roots, contract(_with_roots(ends, roots).select("a", F.col("root").alias("b")), scratch), scratch)
-        open_ = scratch.table(rooted.drop("root").join(chosen, ["key", "cid"], "left_anti"), "members")
-        centers = min(2 * centers, CENTERS)
+    # Each bucket's centre, and the centre's members over all its buckets.
+    best = F.max(F.struct("middle", (-F.col("cid")).alias("cid")))["cid"]
+    centers = scratch.table(open_.groupBy("key").agg((-best).alias("center")), "centers")
+    own = first.select(F.col("cid").alias("center"), F.col("n_shingles").alias("center_n"), *[F.get("sketch", F.lit(k)).alias(f"t{k}") for k in range(SKETCH)]).dropDuplicates(["center"])
+    crowd = scratch.table(open_.select("key", "cid").join(centers, "key").filter("cid <> center").select("center", "cid").distinct(), "crowd")
+
+    near = crowd.join(sketches, "cid").join(own, "center")
+    sizes = 100 * F.least("n_shingles", "center_n") >= percent * F.greatest("n_shingles", "center_n")
+    tests = scratch.table(near.filter(sizes & (different("s", "t") <= DIFFERENT)).select("center", "cid"), "tests")
+    with_center = tests.join(texts.select(F.col("cid").alias("center"), F.col("shingles").alias("sa")), "center")
+    links = with_center.join(texts.select("cid", F.col("shingles").alias("sb")), "cid").filter(linked(F.col("sa"), F.col("sb"), percent))
+    roots = _linked_roots(roots, links.select(F.col("center").alias("a"), F.col("cid").alias("b")), scratch)
+
+    # Members outside their centre's root, against all members of the centre.
+    placed = _with_roots(_with_roots(crowd, roots).select(F.col("center").alias("cid"), F.col("cid").alias("member"), F.col("root").alias("member_root")), roots)
+    placed = scratch.table(placed.select(F.col("cid").alias("center"), F.col("member").alias("cid"), (F.col("root") != F.col("member_root")).alias("outside")), "placed")
+    parts = placed.groupBy("center").agg(F.count("*").alias("n"), F.count_if("outside").alias("out")).filter("out > 0 AND n > 1")
+    parts = scratch.table(parts.select("center", F.ceil(F.col("out") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / AGAINST).cast("int").alias("against")), "parts")
+    spot = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = placed.join(parts, "center")
+    left = dealt.filter("outside").select("center", "cid", spot("blocks").alias("block"), every("against").alias("other"), F.lit(0).alias("side"))
+    right = dealt.select("center", "cid", every("blocks").alias("block"), spot("against").alias("other"), F.lit(1).alias("side"))
+    dealt = scratch.table(left.unionByName(right), "dealt").join(texts, "cid")
+    links = _block_links(dealt, percent)
+    roots = _linked_roots(roots, links, scratch)
     scratch.drop(texts)
 
     component = scratch.table(_with_roots(classes, roots).select("set_id", "root"), "components")
@@ -225,6 +256,65 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
     )
 
 
+def _linked_roots(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``roots`` after the links (a, b) between documents."""
+    links = scratch.table(links.select("a", "b"), "links")
+    ends = _with_roots(links.select(F.col("a").alias("cid"), "b"), roots).select(F.col("root").alias("a"), F.col("b").alias("cid"))
+    return merge_roots(roots, contract(_with_roots(ends, roots).select("a", F.col("root").alias("b")), scratch), scratch)
+
+
+def block_links(out: list[np.ndarray], others: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Places of the linked pairs of two blocks of sets: each set of the second is counted in the first's inverted lists."""
+    sizes = np.array([len(s) for s in out])
+    values, owners = np.concatenate(out), np.repeat(np.arange(len(out)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    found = []
+    for k, other in enumerate(others):
+        low, high = np.searchsorted(values, other, "left"), np.searchsorted(values, other, "right")
+        n = high - low
+        some = n > 0
+        low, n = low[some], n[some]
+        places = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, int)
+        both = np.bincount(owners[places], minlength=len(out))
+        found += [(int(i), k) for i in np.flatnonzero(100 * both >= percent * (sizes + len(other) - both))]
+    return found
+
+
+def _block_links(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of linked documents of (center, block, other): side 0 against side 1."""
+    spark = dealt.sparkSession
+    keys = ["center", "block", "other"]
+
+    def flush(sides):
+        if sides[0] and sides[1]:
+            pairs = block_links([s for _, s in sides[0]], [s for _, s in sides[1]], percent)
+            pairs = [(sides[0][i][0], sides[1][k][0]) for i, k in pairs]
+            return [(a, b) for a, b in pairs if a != b]
+        return []
+
+    def run(batches):
+        now, sides = None, ([], [])
+        for batch in batches:
+            sets_of, ends = batch.column("shingles").flatten().to_numpy(), batch.column("shingles").value_lengths().to_numpy(zero_copy_only=False).cumsum()
+            found = []
+            rows = zip(*(batch.column(c).to_pylist() for c in (*keys, "side", "cid")), ends.tolist(), strict=True)
+            start = 0
+            for center, block, other, side, cid, end in rows:
+                if (center, block, other) != now:
+                    found += flush(sides)
+                    now, sides = (center, block, other), ([], [])
+                sides[side].append((cid, sets_of[start:end]))
+                start = end
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        found = flush(sides)
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = dealt.select(*keys, "side", "cid", "shingles").repartition(parts, *keys).sortWithinPartitions(*keys, "side")
+    return sorted_.mapInArrow(run, "a long, b long")
+
+
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +32,90 @@ QUERIES: dict[str, Query] = {
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+
+def _quality_sql() -> str:
+    return f"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, {_WORD}) AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS ls FROM d),
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {quality.WINDOW - 2})) AS i FROM w),
+        windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + {quality.WINDOW - 1}]) AS k FROM starts),
+        again AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM windows WHERE k > 1),
+        rep AS (SELECT doc_id, CAST(sum(least({quality.WINDOW}, coalesce(next - i, {quality.WINDOW}))) AS BIGINT) AS n_repeat_words FROM again GROUP BY 1),
+        nl AS (SELECT doc_id, source, text, list_transform(string_split(lower(text), chr(10)), lambda x: array_to_string(regexp_extract_all(x, {_WORD}), ' ')) AS nl FROM d),
+        li AS (SELECT doc_id, source, text, nl, unnest(nl) AS line, generate_subscripts(nl, 1) AS i FROM nl),
+        long AS (SELECT *, len(string_split(line, ' ')) AS n, CASE WHEN i > 1 THEN nl[i - 1] END AS before, CASE WHEN i < len(nl) THEN nl[i + 1] END AS after FROM li WHERE len(string_split(line, ' ')) >= {quality.LINE_WORDS}),
+        often AS (SELECT coalesce(source, chr(0)) AS s, line FROM long GROUP BY 1, 2 HAVING count(DISTINCT text) > {quality.LINE_DOCS} AND count(DISTINCT (before, after)) > {quality.LINE_NEIGHBOURS}),
+        gone AS (SELECT doc_id, sum(n) AS gone FROM long JOIN often ON often.s = coalesce(long.source, chr(0)) AND often.line = long.line GROUP BY 1),
+        m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+            CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+            coalesce(n_repeat_words, 0) AS n_repeat_words, gone FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+        f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND NOT coalesce(n_words - gone < {quality.LEFT_WORDS} OR 100 * (n_words - gone) < {quality.LEFT_PERCENT} * n_words, false) AS kept FROM f"""
+
+
+def _secrets_sql() -> str:
+    any_case = re.compile(r"\(\?i:((?:[^()]|\([^()]*\))*)\)")
+    spell = lambda m: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in m[1])
+    spans = []
+    for rank, rule in enumerate(secrets.RULES):
+        pattern = any_case.sub(spell, rule.pattern).replace("'", "''")
+        spans.append(
+            f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, unnest(regexp_extract_all(text, '{pattern}', 0)) AS m, unnest(regexp_extract_all(text, '{pattern}', {rule.group})) AS part,
+            unnest(list_slice(string_split_regex(text, '{pattern}'), 1, len(regexp_extract_all(text, '{pattern}', 0)))) AS gap, generate_subscripts(regexp_extract_all(text, '{pattern}', 0), 1) AS i, {rule.least} AS least FROM d"""
+        )
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}" for k in secrets.BASE)
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        found AS ({" UNION ALL ".join(spans)}),
+        ends AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS e FROM found),
+        spans AS (SELECT doc_id, rank, kind, e - length(m) AS s, kind || ':' || CAST(e - length(m) AS BIGINT) || ':' || CAST(e AS BIGINT) AS span FROM ends WHERE length(part) >= least),
+        joined AS (SELECT doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < {len(secrets.BASE)}), '')) AS base_sha256, string_agg(span, ',' ORDER BY s, rank) AS spans FROM spans GROUP BY 1)
+        SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN joined USING (doc_id)"""
+
+
+def _mixing_sql() -> str:
+    weights = f"[{', '.join(map(str, mixing.WEIGHTS))}]"
+    sql = f"""
+        WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size FROM documents),
+        sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sized GROUP BY 1),
+        weighed AS (SELECT *, {weights}[CAST((sid - 1) % {len(mixing.WEIGHTS)} + 1 AS INTEGER)] AS weight FROM sums),
+        levels AS (SELECT *, CAST(source_size AS DOUBLE) / weight AS ratio, sum(source_size) OVER () - {mixing.CAP} * coalesce(sum(source_size) OVER up, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER up, 0) AS shares
+            FROM weighed WINDOW up AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        level AS (SELECT CAST(rest AS DOUBLE) / CAST(shares AS DOUBLE) AS level FROM levels WHERE CAST(rest AS DOUBLE) / CAST(shares AS DOUBLE) <= {mixing.CAP} * ratio ORDER BY ratio, source_size LIMIT 1),
+        goals AS (SELECT source, sid, source_size, least({float(mixing.CAP)} * source_size, (SELECT level FROM level) * weight) AS target FROM weighed),
+        rates AS (SELECT *, coalesce(target / nullif(CAST(source_size AS DOUBLE), 0), 0) AS rate FROM goals),
+        plan AS (SELECT *, CAST(floor(rate) AS BIGINT) AS whole, rate - floor(rate) AS chance, target - floor(rate) * source_size AS words FROM rates),
+        drawn AS (SELECT *, (CAST(('0x' || substr(md5('{mixing.SEED}|' || doc_id), 1, 13)) AS UBIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM sized),
+        ranked AS (SELECT doc_id, d.source, sid, size, source_size, target, whole, words, CAST(floor(u * {mixing.BINS}) AS INTEGER) AS bin, (u / (1 - u)) / nullif(chance / (1 - chance), 0) AS q
+            FROM drawn AS d JOIN plan AS p ON d.source IS NOT DISTINCT FROM p.source),
+        w0 AS (SELECT sid, words FROM plan)"""
+    taken = []
+    for k in range(mixing.ROUNDS):
+        skip = "".join(f" AND doc_id NOT IN (SELECT doc_id FROM t{j})" for j in range(k))
+        sql += f""",
+        c{k} AS (SELECT r.doc_id, r.sid, r.size, w.words, sum(r.size) OVER (PARTITION BY r.sid ORDER BY bin, q, r.doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM ranked AS r JOIN w{k} AS w ON r.sid = w.sid WHERE r.size > 0 AND r.size <= w.words{skip}),
+        t{k} AS (SELECT doc_id, sid, size FROM c{k} WHERE upto <= words),
+        w{k + 1} AS (SELECT w.sid, any_value(w.words) - coalesce(sum(t.size), 0) AS words FROM w{k} AS w LEFT JOIN t{k} AS t ON t.sid = w.sid GROUP BY 1)"""
+        taken.append(f"SELECT doc_id FROM t{k}")
+    every = " UNION ALL ".join(taken)
+    return f"""{sql},
+        more AS ({every}),
+        gaps AS (SELECT doc_id, row_number() OVER (PARTITION BY r.sid ORDER BY abs(size - w.words), q, doc_id) AS k FROM ranked AS r JOIN w{mixing.ROUNDS} AS w ON r.sid = w.sid
+            WHERE size > 0 AND abs(size - w.words) < w.words AND doc_id NOT IN (SELECT doc_id FROM more)),
+        every AS (SELECT doc_id FROM more UNION ALL SELECT doc_id FROM gaps WHERE k = 1)
+        SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN doc_id IN (SELECT doc_id FROM every) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM ranked"""
+
+
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), {_A_TO_Z})) AS h FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
         FROM d""",
+    "op5_quality": _quality_sql(),
+    "op7_secrets": _secrets_sql(),
+    "op8_mixing": _mixing_sql(),
 }

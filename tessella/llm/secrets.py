@@ -36,12 +36,12 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}", "AKIA"),
     Rule("hex", r"[0-9a-f]{16,}", r"[0-9a-f]{16}"),
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "-----BEGIN "),
-    Rule("forge_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_"),
-    Rule("chat_token", r"\bxox[abeoprs]-[A-Za-z0-9-]{10,}", r"xox[abeoprs]-"),
-    Rule("map_key", r"\bAIza[A-Za-z0-9_-]{35}", "AIza"),
-    Rule("payment_key", r"\b[rs]k_live_[A-Za-z0-9]{16,}", "k_live_"),
-    Rule("signed_claims", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{8}"),
-    Rule("login_address", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", r"://[^\s/@]*@"),
+    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_"),
+    Rule("chat_token", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", r"xox[abeoprs]-"),
+    Rule("map_key", r"AIza[A-Za-z0-9_-]{35}", "AIza"),
+    Rule("payment_key", r"[rs]k_live_[A-Za-z0-9]{16,}", "k_live_"),
+    Rule("signed_claims", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{8}"),
+    Rule("login_address", r"[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{3,64}@", "://"),
 )
 #: The kinds that the base digest is taken of.
 BASE = ("assign", "access", "hex")

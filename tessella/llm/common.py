@@ -87,6 +87,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def text_of(text: str | Column) -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

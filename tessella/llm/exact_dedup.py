@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, lower_ascii, partitions, text_of
+from tessella.llm.common import Scratch, fresh, lower_ascii, partitions, text_of
 
 
 def digest_of(text_col: str = "text") -> Column:
@@ -95,7 +95,8 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns; of rows that repeat both an id and a text, one."""
     spark = docs.sparkSession
     groups = exact_groups(docs, index or DigestIndex(spark))
-    stay = groups.filter("kept").select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest"))
-    marked = docs.withColumn("_digest", digest_of())
-    found = marked.join(stay, (marked["doc_id"] == stay["_keep_id"]) & (marked["_digest"] == stay["_keep_digest"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    stay = groups.filter("kept").select(F.col("doc_id").alias("keep_id"), F.unhex("text_sha256").alias("keep_digest"))
+    own = fresh(docs, "digest")
+    marked = docs.withColumn(own, digest_of())
+    found = marked.join(stay, (marked["doc_id"] == stay["keep_id"]) & (marked[own] == stay["keep_digest"]), "left_semi")
+    return found.dropDuplicates(["doc_id", own]).drop(own)

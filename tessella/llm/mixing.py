@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, text_of, words_of
+from tessella.llm.common import Scratch, fresh, text_of, words_of
 
 #: Weights of the sources in code-point order, repeating; null comes last.
 WEIGHTS = (5, 2, 1)
@@ -126,7 +126,8 @@ def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; of rows that repeat a doc_id, as often as the most."""
-    plan = copies(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    plan = copies(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies")).filter("copies > 0")
     plan = Scratch(docs.sparkSession, "mix").table(plan, "copies")
-    found = docs.join(plan, docs["doc_id"] == plan["_id"])
-    return found.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    found = docs.join(plan, docs["doc_id"].eqNullSafe(plan["id"]))
+    copy = F.explode(F.array_repeat(F.lit(0), plan["copies"])).alias(fresh(docs, "copy"))
+    return found.select(*[docs[c] for c in docs.columns], copy).drop(fresh(docs, "copy"))

@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.rand import bootstrap, shuffled, u01, weighted_sample
-from tessella.functions.scalar import softmax_over
+from tessella.functions.rand import bootstrap, sample, shuffled, u01, weighted_sample
+from tessella.functions.scalar import optimal_step, softmax_over
 from tessella.operators import active, evaluate, graph, grouping, report, split
-from tessella.operators.base import label_counts, row_labelsets
+from tessella.operators.base import cardinalities, label_counts, row_labelsets
 from tessella.operators.params import Params
 from tessella.sources.catalog import embedding_class, frames_sql, order_brand, order_type, table
 
@@ -308,3 +308,43 @@ _add("f1_micro", lambda s, d: (lambda g: evaluate.f1_micro(g[0].y, g[1]))(_guess
 _add("f1_macro", lambda s, d: (lambda g: evaluate.f1_macro(g[0].labels, g[0].y, g[1]))(_guess(s, d)), _GUESS + f", f AS (SELECT label_id, {_F1} AS f FROM oc GROUP BY 1) SELECT round(avg(coalesce(f, 0)), 6) AS value FROM labels LEFT JOIN f USING (label_id)")
 _add("f1_samples", lambda s, d: (lambda g: evaluate.f1_samples(g[0].instances, g[0].y, g[1]))(_guess(s, d)), _GUESS + f", f AS (SELECT instance_id, {_F1} AS f FROM oc GROUP BY 1) SELECT round(avg(coalesce(f, 0)), 6) AS value FROM inst LEFT JOIN f USING (instance_id)")
 _add("chain_classifier", lambda s, d: (lambda m: evaluate.chain_classifier(m, split.naive(m, PLAIN)))(order_type(s, d)))
+
+# --- single steps ---
+
+_WEIGHTS = np.array([[0.001, -0.002], [0.01, 0.02], [1.0, -1.0], [0.1, 0.2], [0.5, -0.5], [0.05, 0.1]])
+
+
+def _projected_sql() -> str:
+    z = [" + ".join(f"{c} * ({float(w)!r})" for c, w in zip(_NAMES, column, strict=True)) for column in _WEIGHTS.T]
+    return f"SELECT instance_id, round({z[0]}, 6) AS z0, round({z[1]}, 6) AS z1 FROM x"
+
+
+_add("label_sums", lambda s, d: label_counts(order_type(s, d)), "SELECT label_id, c FROM c")
+_add("row_sums", lambda s, d: cardinalities(order_type(s, d)), "SELECT instance_id, k FROM k")
+_add("project_features", lambda s, d: grouping.project(order_type(s, d), _WEIGHTS).select("instance_id", *[F.round(F.get("z", F.lit(k)), 6).alias(f"z{k}") for k in (0, 1)]), _projected_sql())
+_add("uniform_label_sample", lambda s, d: sample(order_type(s, d).labels, "label_id", 4, SEED).select("label_id"), f"SELECT label_id FROM labels ORDER BY md5('{SEED}|sample|' || label_id), label_id LIMIT 4")
+_add(
+    "take_bootstrap",
+    lambda s, d: (lambda m: m.take(bootstrap(s, m.instances, "instance_id", 5000, SEED)).y)(order_type(s, d)),
+    f""", p AS (SELECT instance_id, row_number() OVER (ORDER BY instance_id) - 1 AS position FROM inst),
+    draws AS (SELECT range AS draw, CAST(floor({_u01('bootstrap', 'range')} * n) AS BIGINT) AS position FROM range(5000), n)
+    SELECT draw AS instance_id, label_id FROM draws JOIN p USING (position) JOIN y USING (instance_id)""",
+)
+_add("take_features", lambda s, d: (lambda m: m.labelled().x.select("instance_id", "price", "lines"))(order_type(s, d)), "SELECT instance_id, price, lines FROM x WHERE instance_id IN (SELECT instance_id FROM y)")
+_add("split_iterative_shuffled", lambda s, d: split.iterative(order_type(s, d), SHUFFLED))
+_add("split_extreme_best", lambda s, d: split.extreme(order_brand(s, d), THREE, keep_best=True))
+_add("split_remap_iterative", lambda s, d: split.iterative(grouping.reassign(order_type(s, d), _fixed_groups(s)), PLAIN))
+_add("community_groups", lambda s, d: (lambda m: grouping.communities(m, graph.cooccurrence(m), 3))(order_brand(s, d)))
+_add("eigen_groups", lambda s, d: (lambda m: grouping.spectral_groups(m, m, QUICK))(order_brand(s, d)))
+_add("plssvd_groups", lambda s, d: grouping.plssvd_groups(order_brand(s, d), QUICK))
+_add(
+    "label_covariance",
+    lambda s, d: (lambda m: s.createDataFrame([(f, label, round(float(v), 6)) for f, row in zip(m.feature_names(), grouping.cross_covariance(m)[0], strict=True) for label, v in enumerate(row)], "feature string, label_id int, value double"))(order_type(s, d)),
+    ", marks AS (SELECT i.instance_id, l.label_id, CASE WHEN y.label_id IS NULL THEN 0.0 ELSE 1.0 END AS v FROM inst AS i CROSS JOIN labels AS l LEFT JOIN y ON y.instance_id = i.instance_id AND y.label_id = l.label_id) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, label_id, round(corr({c}, v) * (count(*) - 1), 6) AS value FROM marks JOIN x USING (instance_id) GROUP BY 2" for c in _NAMES),
+)
+_add(
+    "optimal_rates",
+    lambda s, d: s.createDataFrame([(a, round(optimal_step(a), 6), round(1 / (a * optimal_step(a)), 9)) for a in (1e-4, 1e-3)], "alpha double, step double, first_rate double"),
+    ", t AS (SELECT a, sqrt(1 / sqrt(a)) AS w FROM (VALUES (1e-4::DOUBLE), (1e-3::DOUBLE)) AS v(a)), r AS (SELECT a, 1 / ((w / greatest(1, ln(1 + exp(w)))) * a) AS step FROM t) SELECT a AS alpha, round(step, 6) AS step, round(1 / (a * step), 9) AS first_rate FROM r",
+)

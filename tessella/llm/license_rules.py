@@ -94,8 +94,8 @@ proprietary | may not be reproduced | no part of this (?:\S+ ){1,4}may be reprod
 
 #: Statements that something is under a licence.
 GRANTS = r"""
-mit | mit | (?:licensed|released|distributed|available|provided) under the (?:terms of the )?mit(?: x11)? licen[cs]e
-mit | mit | licen[cs]e mit
+mit | licen | (?:licensed|released|distributed|available|provided) under the (?:terms of the )?mit(?: x11)? licen[cs]e
+mit | licen | licen[cs]e mit
 bsd | bsd | (?:licensed|released|distributed|available|provided) under (?:the|a) (?:terms of the )?(?:\S+ ){0,3}bsd(?: style)? licen[cs]e
 apache | apache | (?:licensed|released|distributed|available|provided) under the (?:terms of the )?apache(?: software)? licen[cs]e
 gpl | gpl | (?:licensed|released|distributed|available|provided) under the (?:terms of the )?(?:gnu )?gpl
@@ -105,7 +105,7 @@ lgpl | lesser general public license | (?:licensed|released|distributed|availabl
 agpl | agpl | (?:licensed|released|distributed|available|provided) under the (?:terms of the )?(?:gnu )?agpl
 mpl | mozilla public license | (?:licensed|released|distributed|available|provided) under the (?:terms of the )?mozilla public licen[cs]e
 epl | eclipse public license | (?:licensed|released|distributed|available|provided) under the (?:terms of the )?eclipse public licen[cs]e
-isc | isc | (?:licensed|released|distributed|available|provided) under the (?:terms of the )?isc licen[cs]e
+isc | licen | (?:licensed|released|distributed|available|provided) under the (?:terms of the )?isc licen[cs]e
 zlib | zlib | (?:licensed|released|distributed|available|provided) under the (?:terms of the )?zlib licen[cs]e
 bsl-1.0 | boost software license | (?:licensed|released|distributed|available|provided) under the (?:terms of the )?boost software licen[cs]e
 artistic | artistic license | (?:licensed|released|distributed|available|provided) under the (?:terms of the )?(?:perl )?artistic licen[cs]e
@@ -241,3 +241,12 @@ RULES: tuple[Rule, ...] = (
     *_commons(),
     *_rules(NAME, NAMES),
 )
+
+#: Strings one of which stands in every keyword; a text with none of them is not looked at further.
+STEMS = (
+    "licen", "gpl", "apache", "bsd", "mozilla", "commons", "cc by", "cc0", "public", "permission", "redistribution", "reserved", "this file", "as is basis",
+    "received", "either version", "software", "advertising", "anyone", "do what", "altered source", "accompanying", "waiving", "unauthorized",
+    "reproduced", "of the mpl", "open font", "microsoft", "free documentation", "wtfpl", "odc by", "odbl", "zlib", "endorse", "artistic", "copyright", "distribution", "academic", "openssl", "business",
+)
+if lost := [r.keyword for r in RULES if not any(stem in r.keyword for stem in STEMS)]:
+    raise ValueError(f"keywords without a stem: {lost}")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import lower_ascii, text_of
-from tessella.llm.license_rules import RULES, SCORES, Rule
+from tessella.llm.license_rules import RULES, SCORES, STEMS, Rule
 
 #: Anything that isn't part of a word, after lower-casing A to Z.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -54,8 +54,12 @@ def _matches(norm: Column, rule: Column) -> Column:
 
 def detections(norm: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """What is left of the rules' matches after suppression, by start."""
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(f" {r.keyword}").alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(k).alias("rank")) for k, r in enumerate(rules)])
-    tried = F.filter(table, lambda r: F.contains(norm, r["keyword"]))
+    by_keyword: dict[str, list[Column]] = {}
+    for k, r in enumerate(rules):
+        row = F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.pattern).alias("pattern"), F.lit(k).alias("rank"))
+        by_keyword.setdefault(r.keyword, []).append(row)
+    table = F.array(*[F.struct(F.lit(f" {keyword}").alias("keyword"), F.array(*rows).alias("rules")) for keyword, rows in by_keyword.items()])
+    tried = F.flatten(F.transform(F.filter(table, lambda t: F.contains(norm, t["keyword"])), lambda t: t["rules"]))
     found = F.sort_array(F.flatten(F.transform(tried, lambda r: _matches(norm, r))))
     levels = len(SCORES)
     start = F.struct(F.array(*[F.lit(-1)] * levels).alias("ends"), F.array().cast(DETECTIONS).alias("kept"))
@@ -70,11 +74,12 @@ def detections(norm: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.aggregate(found, start, add, lambda state: state["kept"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stems: tuple[str, ...] = STEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
     n_base counts the places of the fixed phrases; first_word and last_word are the
-    smallest and largest word they start at, null without one. detections are intervals
+    smallest and largest word they start at, null without one. ``stems``: strings one of
+    which every rule's keyword contains. detections are intervals
     of words with their label. A null or empty text has no words, no labels ("") and
     score 0. A null id stays null, repeated rows are scanned each, an empty table gives
     no rows, other columns are not read.
@@ -93,8 +98,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
         lasts.append(F.col("n_words") - _blanks(F.element_at(cut, -1)) + 1 - len(phrase.split()))
         labels.append(F.when(cut.isNotNull(), label))
     gate = F.lit(False)
-    for keyword in sorted({r.keyword for r in rules}):
-        gate = gate | F.contains(norm, F.lit(f" {keyword}"))
+    for stem in stems:
+        gate = gate | F.contains(norm, F.lit(stem))
     based = pieces.select(
         "doc_id",
         "n_words",

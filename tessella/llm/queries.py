@@ -30,8 +30,8 @@ QUERIES: dict[str, Query] = {
     "op10_line_dedup": _on_documents(line_dedup.op10),
 }
 
-_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
 
@@ -109,6 +109,62 @@ def _mixing_sql() -> str:
         SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN doc_id IN (SELECT doc_id FROM every) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM ranked"""
 
 
+def _licences_sql() -> str:
+    """Blanks are doubled, so that neighbouring matches don't need the same one: RE2 can't look ahead."""
+    twice = lambda p: p.replace(" ?", "(?:\x00)?").replace(" ", "  ").replace("\x00", "  ")
+    rules = ", ".join(f"({k}, '{r.label}', {r.priority}, '{' ' + r.keyword}', '{twice(r.pattern)}')" for k, r in enumerate(licenses.RULES))
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
+    scores = f"[{', '.join(map(str, licenses.SCORES))}]"
+    return f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+        t AS (SELECT doc_id, ws, CAST(len(ws) AS BIGINT) AS n_words, ' ' || array_to_string(ws, ' ') || ' ' AS norm, ' ' || array_to_string(ws, '  ') || ' ' AS wide FROM w),
+        p AS (SELECT p, label, CAST(len(string_split(p, ' ')) AS BIGINT) AS k FROM (VALUES {phrases}) AS v(p, label)),
+        hits AS (SELECT doc_id, label, k, unnest(string_split(wide, ' ' || replace(p, ' ', '  ') || ' ')) AS gap, unnest(range(1, len(string_split(wide, ' ' || replace(p, ' ', '  ') || ' ')) + 1)) AS i,
+            len(string_split(wide, ' ' || replace(p, ' ', '  ') || ' ')) AS total FROM t, p WHERE contains(norm, ' ' || p || ' ')),
+        places AS (SELECT doc_id, label, i, total, CAST(sum((length(gap) - length(replace(gap, ' ', ''))) // 2) OVER run + k * (i - 1) AS BIGINT) AS spot FROM hits WINDOW run AS (PARTITION BY doc_id, label ORDER BY i)),
+        base AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS labels FROM places WHERE i < total GROUP BY 1),
+        r AS (SELECT * FROM (VALUES {rules}) AS v(rank, label, priority, keyword, pattern)),
+        tried AS (SELECT doc_id, rank, label, priority, regexp_extract_all(wide, ' (?:' || pattern || ') ') AS ms, regexp_split_to_array(wide, ' (?:' || pattern || ') ') AS gs FROM t, r WHERE contains(norm, keyword)),
+        found AS (SELECT doc_id, rank, label, priority, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM tried WHERE len(ms) > 0),
+        ends AS (SELECT doc_id, rank, label, priority, (length(m) - length(replace(m, ' ', ''))) // 2 AS n, sum((length(g) - length(replace(g, ' ', ''))) // 2 + (length(m) - length(replace(m, ' ', ''))) // 2) OVER (PARTITION BY doc_id, rank ORDER BY i) AS e FROM found),
+        det AS (SELECT *, e - n AS s FROM ends),
+        kept AS (SELECT * FROM det AS d WHERE NOT EXISTS (SELECT 1 FROM det AS o WHERE o.doc_id = d.doc_id AND o.s <= d.s AND o.e >= d.e AND (o.priority, o.n, -o.rank) > (d.priority, d.n, -d.rank))),
+        own AS (SELECT doc_id, list(DISTINCT label) AS labels, max({scores}[priority + 1]) AS best FROM kept GROUP BY 1)
+        SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+            coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels,
+            CAST(greatest(coalesce(best, 0), CASE WHEN base.labels IS NULL THEN 0 ELSE {licenses.PHRASE_SCORE} END) AS DOUBLE) AS score
+        FROM t LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)"""
+
+
+def _near_sql() -> str:
+    return f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), {_WORD}) AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+        e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS n, count(*) AS k FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2, 3),
+        links AS (SELECT a, b FROM pairs WHERE 100 * k >= 80 * (n - k)),
+        ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT a AS doc_id, a AS root FROM ways UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.doc_id),
+        roots AS (SELECT doc_id, min(root) AS root FROM reach GROUP BY 1)
+        SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM s LEFT JOIN roots USING (doc_id)"""
+
+
+def _lines_sql() -> str:
+    return f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS own, string_split(lower(coalesce(text, '')), chr(10)) AS ls FROM documents),
+        li AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, regexp_extract_all(unnest(ls), {_WORD}) AS ws FROM d),
+        long AS (SELECT doc_id, i, ws, row_number() OVER (ORDER BY doc_id, i) AS spot FROM li WHERE len(ws) >= {line_dedup.MIN_WORDS}),
+        firsts AS (SELECT ws, min(spot) AS spot, CAST(len(ws) AS INTEGER) AS n FROM long GROUP BY ws),
+        pats AS (SELECT spot, unnest(list_concat(
+            list_transform(range(0, n + 1), lambda p: p || '|' || array_to_string(ws[1:p], ' ') || '|' || array_to_string(ws[p + 1:n], ' ')),
+            list_transform(range(0, n), lambda p: p || '|' || array_to_string(ws[1:p], ' ') || '|' || array_to_string(ws[p + 2:n], ' ')))) AS pat FROM firsts),
+        near AS (SELECT DISTINCT spot FROM (SELECT spot, min(spot) OVER (PARTITION BY pat) AS earliest FROM pats) WHERE earliest < spot),
+        gone AS (SELECT doc_id, i, long.spot = firsts.spot AS near FROM long JOIN firsts USING (ws) WHERE long.spot > firsts.spot OR long.spot IN (SELECT spot FROM near)),
+        sums AS (SELECT doc_id, count(*) FILTER (NOT near) AS n_exact, count(*) FILTER (near) AS n_near, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS dropped FROM gone GROUP BY 1)
+        SELECT doc_id, CAST(len(own) AS BIGINT) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, len(own) - coalesce(n_exact, 0) - coalesce(n_near, 0) AS n_kept, coalesce(dropped, '') AS dropped
+        FROM d LEFT JOIN sums USING (doc_id)"""
+
+
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), {_A_TO_Z})) AS h FROM documents)
@@ -118,4 +174,7 @@ ORACLES: dict[str, str] = {
     "op5_quality": _quality_sql(),
     "op7_secrets": _secrets_sql(),
     "op8_mixing": _mixing_sql(),
+    "op1_licenses": _licences_sql(),
+    "op9_minhash": _near_sql(),
+    "op10_line_dedup": _lines_sql(),
 }

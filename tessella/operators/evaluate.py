@@ -62,5 +62,6 @@ def chain_classifier(d: MultiLabelFrame, split: DataFrame, seed: int = 12345, it
         use = VectorAssembler(inputCols=["x", *[f"p_{i}" for i in before]], outputCol="features")
         model = LinearSVC(labelCol=f"y_{label}", maxIter=iterations, predictionCol=f"p_{label}").fit(fit.transform(train))
         guessed = scratch.table(model.transform(use.transform(guessed)).select("instance_id", "split", "x", *[f"p_{i}" for i in order[: k + 1]]), "guessed")
+    scratch.keep(guessed)
     cells = F.array(*[F.struct(F.lit(i).alias("label_id"), F.col(f"p_{i}").alias("p")) for i in order])
     return guessed.select("instance_id", "split", F.explode(cells).alias("c")).filter("c.p > 0").select("instance_id", "c.label_id", "split")

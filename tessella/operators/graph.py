@@ -118,5 +118,6 @@ def propagate(d: MultiLabelFrame, alpha: float = 0.2, epochs: int = 3) -> DataFr
             after[block] = rest.copy()
             rest = rest + of_blocks[block]
         rows = scratch.table(rows.groupBy("block").applyInPandas(step, rows.schema), "rows")
+    scratch.keep(rows)
     cells = F.arrays_zip(F.array(*map(F.lit, labels)).alias("label_id"), F.col("d").alias("value"))
     return rows.select("instance_id", F.explode(cells).alias("c")).select("instance_id", "c.label_id", "c.value")

@@ -154,7 +154,9 @@ def extreme(d: MultiLabelFrame, params: Params = Params(), scores: DataFrame | N
         if keep_best:
             off = label_scores(y, sides, params, average).agg(F.sum(F.abs("label_score"))).first()[0] or 0.0
             best = (off, sides) if best is None or off < best[0] else best
-    return (best[1] if best else sides).select("instance_id", F.when(F.col("is_test") == 1, "test").otherwise("train").alias("split"))
+    found = best[1] if best else sides
+    scratch.keep(found)
+    return found.select("instance_id", F.when(F.col("is_test") == 1, "test").otherwise("train").alias("split"))
 
 
 #: Splitters that a grouping of labels can hand over to.

@@ -32,6 +32,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
+        self._tables: list[DataFrame] = []
 
     def path(self, name: str) -> str:
         self._count += 1
@@ -43,6 +44,7 @@ class Scratch:
         df.write.parquet(path)
         found = self.spark.read.schema(df.schema).parquet(path)
         found._scratch_path = path
+        self._tables.append(found)
         return found
 
     def drop(self, *tables: DataFrame) -> None:
@@ -51,3 +53,9 @@ class Scratch:
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all written tables but these."""
+        kept = {df._scratch_path for df in tables}
+        self.drop(*(df for df in self._tables if df._scratch_path not in kept))
+        self._tables = [*tables]

@@ -1,40 +1,25 @@
-"""What the operators share: scratch tables in the shared folder, text helpers, hashing."""
+"""What the operators share: shipping code, scratch tables, text helpers."""
 
 from __future__ import annotations
 
 import hashlib
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.plans.scratch import Scratch, scratch_root
+
+__all__ = ["Scratch", "scratch_root"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: White space of the word rules: blank and U+0009 to U+000D.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset the session must be a single-JVM one (``local[...]``), which
-    gets a folder of its own; on a cluster a local folder would lose files.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="tessella-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 _shipped: set[str] = set()
 
 
@@ -54,35 +39,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-class Scratch:
-    """Written tables that cut lineage. They survive the loss of any executor."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self._count = 0
-
-    def path(self, name: str) -> str:
-        self._count += 1
-        return f"{self.root}/{self._count:03d}-{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return the written table."""
-        path = self.path(name)
-        df.write.parquet(path)
-        found = self.spark.read.schema(df.schema).parquet(path)
-        found._scratch_path = path
-        return found
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Remove written tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

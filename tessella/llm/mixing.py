@@ -104,7 +104,9 @@ def copies(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS
     gap = F.abs(F.col("size") - F.col("words"))
     near = numbered.filter("more = 0 AND size > 0").join(words, "sid").filter(gap < F.col("words"))
     near = near.groupBy("sid").agg(F.min(F.struct(gap.alias("gap"), "q", "doc_id", "twin", "bin", "size")).alias("c"))
-    near = _named(scratch.table(near.select("sid", "c.bin", "c.doc_id", "c.size", "c.twin"), "last"), "_l_")
+    last_ones = scratch.table(near.select("sid", "c.bin", "c.doc_id", "c.size", "c.twin"), "last")
+    near = _named(last_ones, "_l_")
+    scratch.keep(numbered, last_ones)
     found = numbered.join(near, _same("_l_") & (F.col("twin") == F.col("_l_twin")), "left")
     last = F.when(F.col("_l_sid").isNotNull(), 1).otherwise(0)
     return found.select("doc_id", "size", "source_size", "target", (F.col("whole") + F.col("more") + last).cast("int").alias("copies"))

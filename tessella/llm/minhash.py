@@ -204,6 +204,7 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
     shared = scratch.table(shared, "shared")
     open_ = scratch.table(members.join(shared, "key").distinct(), "members")
     sketches = first.select("cid", "n_shingles", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH)]).dropDuplicates(["cid"])
+    sketches = scratch.table(sketches, "sketches")
 
     # Whoever shares many bands with many is near the middle of its group, and a good centre for all of its buckets.
     counts = scratch.table(open_.groupBy("key").agg(F.count("*").alias("n")), "counts")
@@ -222,7 +223,7 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
     # Each bucket's centre, and the centre's members over all its buckets.
     best = F.max(F.struct("middle", (-F.col("cid")).alias("cid")))["cid"]
     centers = scratch.table(open_.groupBy("key").agg((-best).alias("center")), "centers")
-    own = first.select(F.col("cid").alias("center"), F.col("n_shingles").alias("center_n"), *[F.get("sketch", F.lit(k)).alias(f"t{k}") for k in range(SKETCH)]).dropDuplicates(["center"])
+    own = sketches.withColumnsRenamed({"cid": "center", "n_shingles": "center_n"} | {f"s{k}": f"t{k}" for k in range(SKETCH)})
     crowd = scratch.table(open_.select("key", "cid").join(centers, "key").filter("cid <> center").select("center", "cid").distinct(), "crowd")
 
     near = crowd.join(sketches, "cid").join(own, "center")
@@ -245,9 +246,8 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
     dealt = scratch.table(left.unionByName(right), "dealt").join(texts, "cid")
     links = _block_links(dealt, percent)
     roots = _linked_roots(roots, links, scratch)
-    scratch.drop(texts)
-
     component = scratch.table(_with_roots(classes, roots).select("set_id", "root"), "components")
+    scratch.keep(signed, component)
     return signed.join(component, "set_id", "left").select(
         "doc_id",
         "n_shingles",

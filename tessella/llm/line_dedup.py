@@ -8,9 +8,10 @@ of five.
 Every line stands for the patterns it matches with a hole at some place: with one word
 taken out there, or with nothing there. Lines that share a pattern are all one edit
 apart from each other, so a bucket needs its earliest line only and no pairs are
-listed. Two lines one edit apart also share their first or second half; lines that
-share no half with another one are set aside before patterns are made. What a pattern's
-hash suggests is verified on the words.
+listed. Two lines one edit apart also share two thirds of their words, the third with
+the edit left out; a line that shares no two thirds with another is set aside before
+patterns are made, and the others make patterns with a hole in the odd third only.
+What a pattern's hash suggests is verified on the words.
 
 Everything is DataFrame functions.
 """
@@ -20,50 +21,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, text_of, words_of
+from tessella.llm.common import Scratch, fresh, text_of, words_of
 
 MIN_WORDS = 5
 
 
+NO_ID = -(2**63)
+_LINES = 2**31
+
+
 def place(doc_id: Column, line_no: Column) -> Column:
     """A number that orders lines by doc_id, null first, and place; a number, so that its minimum is found by hashing."""
-    return F.coalesce(doc_id, F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + line_no.cast("decimal(10,0)")
+    return F.coalesce(doc_id, F.lit(NO_ID)).cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(11,0)") + line_no.cast("decimal(10,0)")
+
+
+def doc_of(at: Column) -> Column:
+    """The doc_id of a place, NO_ID for null."""
+    return F.floor((at - F.pmod(at, F.lit(_LINES).cast("decimal(11,0)"))) / F.lit(_LINES).cast("decimal(11,0)")).cast("long")
 
 
 def lines_of(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, words) of the lines that take part."""
+    """(doc_id, line_no, n, norm) of the lines that take part: their words, and these with single blanks between."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    split = F.transform(F.split(F.lower("text"), "\n"), lambda x, i: F.struct(i.alias("line_no"), words_of(x).alias("words")))
-    return picked.select("doc_id", F.explode(F.filter(split, lambda x: F.size(x["words"]) >= min_words)).alias("x")).select("doc_id", "x.line_no", "x.words")
+    split = picked.select("doc_id", F.transform(F.split(F.lower("text"), "\n"), lambda x: words_of(x)).alias("lines"))
+    each = F.transform("lines", lambda w, i: F.when(F.size(w) >= min_words, F.struct(i.alias("line_no"), F.size(w).alias("n"), F.array_join(w, " ").alias("norm"))))
+    return split.select("doc_id", F.explode(F.array_compact(each)).alias("x")).select("doc_id", "x.line_no", "x.n", "x.norm")
+
 
+def digest(norm: Column) -> Column:
+    return F.unhex(F.md5(norm))
 
-def _joined(words: Column) -> Column:
-    return F.array_join(words, " ")
 
+def _thirds(n: Column) -> tuple[Column, Column]:
+    return F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
 
-def digest(words: Column) -> Column:
-    return F.unhex(F.md5(_joined(words)))
 
+def _words(norm: Column, count: Column) -> Column:
+    """The first words of a normalised line, or the last if ``count`` is negative."""
+    return F.call_function("substring_index", norm, F.lit(" "), count)
 
-def halves(words: Column, n: Column, least: int) -> list[Column]:
-    """Keys of the halves: as the shorter of two lines or one of the same length, and as the longer."""
+
+def thirds(norm: Column, n: Column, least: int) -> list[Column]:
+    """Keys of two thirds of the line, without the last, the middle and the first third; null if a line is too short.
+
+    The first three take the line as the shorter of two or one of the same length: its
+    ``n`` words are cut. The others take it as the longer: the cuts are those of one word
+    less, and the word more is in the third left out.
+    """
     found = []
     for base in (n, n - 1):
-        half = F.floor(base / 2).cast("int")
-        first, second = F.slice(words, F.lit(1), half), F.slice(words, n - base + half + 1, base - half)
-        fits = base >= least
-        found += [F.when(fits, F.xxhash64(F.lit("first"), base, _joined(first))), F.when(fits, F.xxhash64(F.lit("second"), base, _joined(second)))]
+        a, b = _thirds(base)
+        parts = [_words(norm, b), F.concat(_words(norm, a), F.lit(" "), _words(norm, b - base)), _words(norm, a - base)]
+        found += [F.when(base >= least, F.xxhash64(F.lit(k), base, part)) for k, part in enumerate(parts)]
     return found
 
 
-def patterns(words: Column, n: Column) -> Column:
-    """Keys of the line's patterns: the place of the hole, the words before it and after it, and their number."""
-    before = F.aggregate(words, F.array(F.lit(0).cast("long")), lambda s, w: F.concat(s, F.array(F.xxhash64(F.element_at(s, -1), w))))
-    after = F.reverse(F.aggregate(F.reverse(words), F.array(F.lit(0).cast("long")), lambda s, w: F.concat(s, F.array(F.xxhash64(F.element_at(s, -1), w)))))
-    both = F.arrays_zip(before.alias("before"), after.alias("after"), F.concat(F.slice(after, F.lit(2), n), F.array(F.lit(None).cast("long"))).alias("next"))
-    nothing = F.transform(both, lambda x, p: F.xxhash64(p, n, x["before"], x["after"]))
-    taken = F.transform(F.slice(both, F.lit(1), n), lambda x, p: F.xxhash64(p, n - 1, x["before"], x["next"]))
-    return F.concat(nothing, taken)
+def patterns(texts: DataFrame) -> DataFrame:
+    """(place, pattern) of (place, n, words, shared): keys of the lines' patterns with a hole in the thirds that ``shared`` says.
+
+    ``shared`` holds numbers of the keys of ``thirds``. A pattern's key hashes the hole's
+    place, the words before it and after it, and their number; the hashes of all
+    beginnings and ends of a line are chained.
+    """
+    chain = lambda w: F.aggregate(w, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.xxhash64(F.element_at(s, -1), x))))
+    n = F.col("n")
+    a, b = _thirds(n)
+    c, d = _thirds(n - 1)
+    none = F.array().cast("array<int>")
+    span = lambda k, low, high: F.when(F.array_contains("shared", F.lit(k)) & (low <= high), F.sequence(low, high)).otherwise(none)
+    zero = F.lit(0)
+    gaps = F.concat(span(0, b, n), span(1, a, b), span(2, zero, a))
+    taken = F.concat(span(0, b, n - 1), span(1, a, b - 1), span(2, zero, a - 1), span(3, d, n - 1), span(4, c, d), span(5, zero, c))
+    chained = texts.select("place", "n", chain(F.col("words")).alias("before"), F.reverse(chain(F.reverse("words"))).alias("after"), gaps.alias("gaps"), taken.alias("taken"))
+    keys = F.concat(
+        F.transform("gaps", lambda p: F.xxhash64(p, n, F.get("before", p), F.get("after", p))),
+        F.transform("taken", lambda p: F.xxhash64(p, n - 1, F.get("before", p), F.get("after", p + 1))),
+    )
+    return chained.select("place", F.explode(keys).alias("pattern"))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -77,40 +111,45 @@ def one_edit(a: Column, b: Column) -> Column:
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line_no, near) of every line to drop; near: no earlier line is equal, but one is an edit away."""
     scratch = Scratch(docs.sparkSession, "lines")
-    words, n = F.col("words"), F.size("words")
-    keys = [k.alias(f"k{i}") for i, k in enumerate(halves(words, F.col("n"), min_words))]
-    every = lines_of(docs, min_words).withColumn("n", n).select("doc_id", "line_no", "n", digest(words).alias("line"), *keys)
-    every = scratch.table(every.withColumn("place", place(F.col("doc_id"), F.col("line_no"))), "lines")
-    names = [f"k{i}" for i in range(len(keys))]
-    first = scratch.table(every.groupBy("line", *names).agg(F.min("place").alias("place")), "first")
-
-    # Lines that share a half with another line.
-    spread = first.select("line", "place", F.explode(F.array_compact(F.array(*names))).alias("half"))
-    shared = scratch.table(spread.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half"), "halves")
-    active = scratch.table(spread.join(shared, "half", "left_semi").select("line", "place").distinct(), "active")
+    names = [f"k{i}" for i in range(6)]
+    every = lines_of(docs, min_words)
+    keys = [k.alias(name) for k, name in zip(thirds(F.col("norm"), F.col("n"), min_words), names, strict=True)]
+    every = scratch.table(every.select("doc_id", "line_no", digest(F.col("norm")).alias("line"), *keys), "lines")
+    at = place(F.col("doc_id"), F.col("line_no"))
+    first = every.groupBy("line", *names).agg(F.min(at).alias("place"))
+    first = scratch.table(first.withColumn("id", F.monotonically_increasing_id()), "first")
+
+    # Lines that share two thirds with another line, and which. A key's first and last line are known from its sums;
+    # only keys of three lines or more are looked up again.
+    parts = F.array(*[F.struct(F.col(name).alias("key"), (F.col("id") * 8 + k).alias("of")) for k, name in enumerate(names)])
+    spread = first.select(F.explode(F.filter(parts, lambda x: x["key"].isNotNull())).alias("x")).select("x.key", "x.of")
+    shared = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).filter("n > 1")
+    shared = scratch.table(shared, "shared")
+    more = spread.join(shared.filter("n > 2").select("key"), "key", "left_semi").select("of")
+    ends = shared.filter("n = 2").select(F.explode(F.array("low", "high")).alias("of"))
+    active = more.unionByName(ends).select(F.shiftright("of", 3).alias("id"), F.col("of").bitwiseAND(F.lit(7)).cast("int").alias("k"))
+    active = scratch.table(active.groupBy("id").agg(F.collect_set("k").alias("shared")), "active")
 
     # Their words, from the first place of each.
-    where = every.join(active.withColumnsRenamed({"line": "_line", "place": "_place"}), (F.col("line") == F.col("_line")) & (F.col("place") == F.col("_place")), "left_semi")
-    where = scratch.table(where.select("doc_id", "line_no", "line", "place").distinct(), "where")
-    ids = scratch.table(where.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id")).distinct(), "ids")
-    again = lines_of(docs.join(ids, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))) == ids["_id"], "left_semi"), min_words)
-    again = again.withColumn("line", digest(words)).withColumn("place", place(F.col("doc_id"), F.col("line_no"))).drop("doc_id", "line_no")
-    texts = scratch.table(again.join(where.select("line", "place"), ["line", "place"], "left_semi").dropDuplicates(["line", "place"]), "words")
-
-    holes = texts.select("line", "place", F.explode(patterns(words, n)).alias("pattern"))
-    earliest = holes.groupBy("pattern").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    where = scratch.table(first.select("id", "line", "place").join(active, "id").select("line", "place", "shared"), "where")
+    ids = scratch.table(where.select(doc_of(F.col("place")).alias("_id")).distinct(), "ids")
+    again = lines_of(docs.join(ids, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == ids["_id"], "left_semi"), min_words)
+    again = again.select("n", "norm", at.alias("place"), digest(F.col("norm")).alias("line"))
+    texts = again.join(where, ["line", "place"]).dropDuplicates(["line", "place"])
+    texts = scratch.table(texts.select("line", "place", "n", "shared", F.split("norm", " ").alias("words")), "words")
+
+    holes = scratch.table(patterns(texts), "holes")
+    earliest = holes.groupBy("pattern").agg(F.min("place").alias("earliest"), F.max("place").alias("latest")).filter("earliest < latest").drop("latest")
     earliest = scratch.table(earliest, "earliest")
-    pairs = holes.join(earliest, "pattern").filter("earliest < place").select("line", "earliest").distinct()
-    pairs = scratch.table(pairs, "pairs")
-    left = texts.select(F.col("line"), F.col("words").alias("own"))
-    right = texts.select(F.col("place").alias("earliest"), F.col("words").alias("other"))
-    both = pairs.join(left, "line").join(right, "earliest")
+    pairs = scratch.table(holes.join(earliest, "pattern").filter("earliest < place").select("place", "earliest").distinct(), "pairs")
+    both = pairs.join(texts.select("place", F.col("words").alias("own")), "place").join(texts.select(F.col("place").alias("earliest"), F.col("words").alias("other")), "earliest")
     longer = F.size("own") >= F.size("other")
     verified = both.filter(one_edit(F.when(longer, F.col("other")).otherwise(F.col("own")), F.when(longer, F.col("own")).otherwise(F.col("other"))))
-    near = scratch.table(verified.select("line").distinct().withColumn("near", F.lit(True)), "near")
+    near = scratch.table(verified.select("place").distinct().withColumn("near", F.lit(True)), "near")
 
-    marked = scratch.table(first.select("line", F.col("place").alias("first")).join(near, "line", "left"), "marked")
-    found = every.select("doc_id", "line_no", "line", "place").join(marked, "line")
+    marked = scratch.table(first.select("line", "place").join(near, "place", "left").select("line", F.col("place").alias("first"), "near"), "marked")
+    scratch.keep(every, marked)
+    found = every.select("doc_id", "line_no", "line", at.alias("place")).join(marked, "line")
     repeat = F.col("place") > F.col("first")
     return found.filter(repeat | F.col("near")).select("doc_id", "line_no", (~repeat).alias("near"))
 
@@ -125,12 +164,12 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     read.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = dropped_lines(docs, min_words).groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "line_no").agg(F.max("near").alias("near"))
+    gone = dropped_lines(docs, min_words).groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "line_no").agg(F.max("near").alias("near"))
     gone = gone.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "near"))).alias("gone"))
     gone = scratch.table(gone, "gone")
     text = text_of("text")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    found = own.join(gone, F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_id"), "left")
+    found = own.join(gone, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_id"), "left")
     all_gone = F.coalesce("gone", F.array().cast("array<struct<line_no:int,near:boolean>>"))
     found = found.withColumn("gone", F.filter(all_gone, lambda x: x["line_no"] < F.col("n_lines")))
     n_near = F.size(F.filter("gone", lambda x: x["near"])).cast("long")
@@ -145,7 +184,8 @@ def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` with the dropped lines taken out of their texts."""
-    found = line_dedup(docs, min_words).filter("dropped <> ''").select(F.col("doc_id").alias("_id"), F.split("dropped", ",").cast("array<int>").alias("_gone")).dropDuplicates(["_id"])
-    joined = docs.join(Scratch(docs.sparkSession, "lines").table(found, "found"), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    id_name, gone = fresh(docs, "id"), fresh(docs, "gone")
+    found = line_dedup(docs, min_words).filter("dropped <> ''").select(F.col("doc_id").alias(id_name), F.split("dropped", ",").cast("array<int>").alias(gone)).dropDuplicates([id_name])
+    joined = docs.join(Scratch(docs.sparkSession, "lines").table(found, "found"), docs["doc_id"].eqNullSafe(F.col(id_name)), "left")
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)

@@ -72,23 +72,23 @@ class LibraryIds:
             found += [raw[a:b] for a, b in zip(ends, ends[1:])]
         return found
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words, remembered or new; none of the odd ones, which begin with white space or are empty."""
+    def _ids(self, words: list[str], odd: np.ndarray) -> np.ndarray:
+        """Ids of distinct words, remembered or new; none, an empty string, of the odd ones."""
         if len(self.known) + len(words) > WORDS:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        found = list(map(known.get, words))
-        gaps = [k for k, ids in enumerate(found) if ids is None]
-        new = []
-        for k in gaps:
-            word = words[k]
-            if (ids := older.get(word)) is not None:
-                known[word] = found[k] = ids
-            elif word and not word[0].isspace():
-                new.append(k)
-        made = self._words([words[k] for k in new])
-        for k, ids in zip(new, made, strict=True):
-            known[words[k]] = found[k] = ids
+        found = np.empty(len(words), object)
+        found[:] = list(map(self.known.get, words))
+        found[odd] = b""
+        gaps = np.flatnonzero(np.equal(found, None))
+        if len(gaps):
+            sought = [words[k] for k in gaps.tolist()]
+            found[gaps] = list(map(self.older.get, sought))
+            new = gaps[np.equal(found[gaps], None)]
+            fresh = [words[k] for k in new.tolist()]
+            made = np.empty(len(fresh), object)
+            made[:] = self._words(fresh)
+            found[new] = made
+            self.known.update(zip(sought, found[gaps].tolist(), strict=True))
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,17 +100,18 @@ class LibraryIds:
         split = pc.split_pattern(texts, " ")
         starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        first = pc.utf8_slice_codeunits(coded.dictionary, 0, 1)
+        odd = pc.or_(pc.utf8_is_space(first), pc.equal(first, "")).to_numpy(zero_copy_only=False)
+        ids = self._ids(words, odd)
         at = coded.indices.to_numpy().copy()
-        ids = self._ids(words)
-
         # A text's first word has no blank before it: it is an entry of its own. So is a text that goes to the library as it is.
         at[starts] = len(words) + np.arange(len(texts))
         whole = np.zeros(len(texts), bool)
         for added in self.file.added:
             whole |= pc.match_substring(texts, added).to_numpy(zero_copy_only=False)
-        if None in ids:
-            odd = np.array([*(x is None for x in ids), *[False] * len(texts)])
+        if odd.any():
+            odd = np.concatenate([odd, np.zeros(len(texts), bool)])
             whole |= np.add.reduceat(odd[at], starts) > 0
         empty = len(words) + len(texts)
         if whole.any():
@@ -119,7 +120,7 @@ class LibraryIds:
             at[inside] = empty
         heads = split.flatten().take(pa.array(starts)).to_pylist()
         heads = [texts[k].as_py() if w else h for k, (h, w) in enumerate(zip(heads, whole.tolist(), strict=True))]
-        every = [x or b"" for x in ids] + self._library(heads) + [b""]
+        every = [*ids.tolist(), *self._library(heads), b""]
 
         n = np.fromiter(map(len, every), np.int64, len(every)) // 4
         entries = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(every), "<i4")))

@@ -92,7 +92,7 @@ def patterns(texts: DataFrame) -> DataFrame:
     zero = F.lit(0)
     gaps = F.concat(span(0, b, n), span(1, a, b), span(2, zero, a))
     taken = F.concat(span(0, b, n - 1), span(1, a, b - 1), span(2, zero, a - 1), span(3, d, n - 1), span(4, c, d), span(5, zero, c))
-    chained = texts.select("place", "n", chain(F.col("words")).alias("before"), F.reverse(chain(F.reverse("words"))).alias("after"), gaps.alias("gaps"), taken.alias("taken"))
+    chained = texts.select("place", "n", chain(F.col("words")).alias("before"), F.reverse(chain(F.reverse("words"))).alias("after"), F.array_distinct(gaps).alias("gaps"), F.array_distinct(taken).alias("taken"))
     keys = F.concat(
         F.transform("gaps", lambda p: F.xxhash64(p, n, F.get("before", p), F.get("after", p))),
         F.transform("taken", lambda p: F.xxhash64(p, n - 1, F.get("before", p), F.get("after", p + 1))),
@@ -109,14 +109,17 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, near) of every line to drop; near: no earlier line is equal, but one is an edit away."""
+    """(doc_id, line_no, near) of every line to drop; near: no earlier line is equal, but one is an edit away.
+
+    Narrow tables that grow with the corpus are joined by sort and merge at any size.
+    """
     scratch = Scratch(docs.sparkSession, "lines")
     names = [f"k{i}" for i in range(6)]
     every = lines_of(docs, min_words)
     keys = [k.alias(name) for k, name in zip(thirds(F.col("norm"), F.col("n"), min_words), names, strict=True)]
     every = scratch.table(every.select("doc_id", "line_no", digest(F.col("norm")).alias("line"), *keys), "lines")
     at = place(F.col("doc_id"), F.col("line_no"))
-    first = every.groupBy("line", *names).agg(F.min(at).alias("place"))
+    first = every.groupBy("line", *names).agg(F.min(at).alias("place"), (F.count("*") > 1).alias("repeated"))
     first = scratch.table(first.withColumn("id", F.monotonically_increasing_id()), "first")
 
     # Lines that share two thirds with another line, and which. A key's first and last line are known from its sums;
@@ -125,13 +128,13 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spread = first.select(F.explode(F.filter(parts, lambda x: x["key"].isNotNull())).alias("x")).select("x.key", "x.of")
     shared = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).filter("n > 1")
     shared = scratch.table(shared, "shared")
-    more = spread.join(shared.filter("n > 2").select("key"), "key", "left_semi").select("of")
+    more = spread.join(shared.filter("n > 2").select("key").hint("merge"), "key", "left_semi").select("of")
     ends = shared.filter("n = 2").select(F.explode(F.array("low", "high")).alias("of"))
     active = more.unionByName(ends).select(F.shiftright("of", 3).alias("id"), F.col("of").bitwiseAND(F.lit(7)).cast("int").alias("k"))
     active = scratch.table(active.groupBy("id").agg(F.collect_set("k").alias("shared")), "active")
 
     # Their words, from the first place of each.
-    where = scratch.table(first.select("id", "line", "place").join(active, "id").select("line", "place", "shared"), "where")
+    where = scratch.table(first.select("id", "line", "place").join(active.hint("merge"), "id").select("line", "place", "shared"), "where")
     ids = scratch.table(where.select(doc_of(F.col("place")).alias("_id")).distinct(), "ids")
     again = lines_of(docs.join(ids, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == ids["_id"], "left_semi"), min_words)
     again = again.select("n", "norm", at.alias("place"), digest(F.col("norm")).alias("line"))
@@ -141,15 +144,17 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     holes = scratch.table(patterns(texts), "holes")
     earliest = holes.groupBy("pattern").agg(F.min("place").alias("earliest"), F.max("place").alias("latest")).filter("earliest < latest").drop("latest")
     earliest = scratch.table(earliest, "earliest")
-    pairs = scratch.table(holes.join(earliest, "pattern").filter("earliest < place").select("place", "earliest").distinct(), "pairs")
-    both = pairs.join(texts.select("place", F.col("words").alias("own")), "place").join(texts.select(F.col("place").alias("earliest"), F.col("words").alias("other")), "earliest")
+    pairs = scratch.table(holes.join(earliest.hint("merge"), "pattern").filter("earliest < place").select("place", "earliest").distinct(), "pairs")
+    both = pairs.join(texts.select("line", "place", F.col("words").alias("own")), "place").join(texts.select(F.col("place").alias("earliest"), F.col("words").alias("other")), "earliest")
     longer = F.size("own") >= F.size("other")
     verified = both.filter(one_edit(F.when(longer, F.col("other")).otherwise(F.col("own")), F.when(longer, F.col("own")).otherwise(F.col("other"))))
-    near = scratch.table(verified.select("place").distinct().withColumn("near", F.lit(True)), "near")
+    near = scratch.table(verified.select("line", "place").distinct(), "near")
 
-    marked = scratch.table(first.select("line", "place").join(near, "place", "left").select("line", F.col("place").alias("first"), "near"), "marked")
+    # Only lines that stand twice or have a near one are of interest now.
+    marked = first.filter("repeated").select("line", "place", F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
+    marked = scratch.table(marked.groupBy("line").agg(F.min("place").alias("first"), F.max("near").alias("near")), "marked")
     scratch.keep(every, marked)
-    found = every.select("doc_id", "line_no", "line", at.alias("place")).join(marked, "line")
+    found = every.select("doc_id", "line_no", "line", at.alias("place")).join(marked.hint("merge"), "line")
     repeat = F.col("place") > F.col("first")
     return found.filter(repeat | F.col("near")).select("doc_id", "line_no", (~repeat).alias("near"))
 

@@ -1,10 +1,9 @@
 """Quality rules: marks of a document by itself, and lines that too many documents of a host share.
 
 A line is normalised (lower case, white space as single blanks) and hashed with its
-host. Of each, the distinct documents are counted, and the distinct neighbours (the
-lines before and after): copies of one document bring the same neighbours, a line that
-a host puts on its pages comes with many. Lines above both limits are removed, and a
-document that is left with too few words is rejected. Everything is DataFrame functions.
+host. Of each, the distinct documents are counted; exact copies are one document. Lines
+above the limit are removed, and a document that is left with too few words is
+rejected. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -14,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import Scratch, n_chars_in, text_of, words_of
 
-#: Documents of the host, and neighbours, beyond which a line is removed.
+#: Documents of the host beyond which a line is removed.
 LINE_DOCS = 50
+#: Neighbours that the SQL asks for besides; the operator doesn't, as each line of a shared block has the same two.
 LINE_NEIGHBOURS = 50
 #: Shorter lines are left alone: they carry structure, and are the same by chance.
 LINE_WORDS = 5
@@ -81,14 +81,16 @@ def host_lines(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id"
     return each.select("doc_id", "document", "x.line", "x.neighbours", F.col("x.n").cast("long").alias("n"))
 
 
-def removed_words(docs: DataFrame, line_docs: int = LINE_DOCS, line_neighbours: int = LINE_NEIGHBOURS, host_col: str = "source") -> DataFrame:
-    """(doc_id, removed): words of each document's lines above both limits, where there are any."""
+def removed_words(docs: DataFrame, line_docs: int = LINE_DOCS, line_neighbours: int | None = None, host_col: str = "source") -> DataFrame:
+    """(doc_id, removed): words of each document's lines above the limit, where there are any; with ``line_neighbours``, of those that also have more distinct neighbours."""
     scratch = Scratch(docs.sparkSession, "quality")
-    lines = scratch.table(host_lines(docs, host_col), "lines")
+    lines = host_lines(docs, host_col)
+    lines = scratch.table(lines.drop("neighbours") if line_neighbours is None else lines, "lines")
     by_docs = lines.select("line", "document").distinct().groupBy("line").agg(F.count("*").alias("docs")).filter(F.col("docs") > line_docs)
-    by_docs = scratch.table(by_docs, "common")
-    often = lines.join(by_docs, "line").select("line", "neighbours").distinct().groupBy("line").agg(F.count("*").alias("k")).filter(F.col("k") > line_neighbours)
-    often = scratch.table(often.select("line"), "removed")
+    often = scratch.table(by_docs.select("line"), "common")
+    if line_neighbours is not None:
+        around = lines.join(often, "line").select("line", "neighbours").distinct().groupBy("line").agg(F.count("*").alias("k")).filter(F.col("k") > line_neighbours)
+        often = scratch.table(around.select("line"), "removed")
     return lines.select("doc_id", "line", "n").join(often, "line").groupBy("doc_id").agg(F.sum("n").alias("removed"))
 
 

@@ -146,6 +146,16 @@ def test_depleted_documents_go(spark, docs_of):
     assert {r["doc_id"] for r in quality.keep_good(docs_of(rows)).collect()} == set(range(60))
 
 
+def test_shared_blocks_go_whole(spark, docs_of):
+    """Each line of a block has the same neighbours on all pages; blocks at the end and at the start."""
+    block = "\n".join(f"block{k} line of words{k} that{k} all{k} pages{k} share{k}" for k in range(10))
+    rows = [(i, f"own{i} words{i} here{i}\n{block}", "end") for i in range(60)]
+    rows += [(100 + i, f"{block}\nown{i} words{i} here{i}", "start") for i in range(60)]
+    rows += [(200 + i, f"own{i} words{i} here{i}\n{block}", "few") for i in range(50)] + [(300 + i, f"own words here\n{block}", "copies") for i in range(60)]
+    found = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.op5(spark, docs_of(rows)).collect()}
+    assert all(found[i] == (False, i >= 200) for i in found)
+
+
 def targets_by_hand(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}

@@ -1,7 +1,7 @@
-"""Licence scans: ordered signature rules behind a keyword prefilter.
+"""Licence scans: ordered signature rules behind a prefilter.
 
-A text is brought to its words. The few texts that contain a keyword go through the
-rules of the keywords they contain; each match is an interval of words. A detection
+A text is brought to its words. The few texts that contain a gate go through the
+rules of the gates they contain; each match is an interval of words. A detection
 inside another of higher rank is suppressed in one pass over the intervals by start:
 whatever contains an interval comes before it, so the largest end of each priority so
 far is all that has to be kept. A document is scanned within its row, without a
@@ -54,12 +54,12 @@ def _matches(norm: Column, rule: Column) -> Column:
 
 def detections(norm: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """What is left of the rules' matches after suppression, by start."""
-    by_keyword: dict[str, list[Column]] = {}
+    by_gate: dict[str, list[Column]] = {}
     for k, r in enumerate(rules):
         row = F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.pattern).alias("pattern"), F.lit(k).alias("rank"))
-        by_keyword.setdefault(r.keyword, []).append(row)
-    table = F.array(*[F.struct(F.lit(f" {keyword}").alias("keyword"), F.array(*rows).alias("rules")) for keyword, rows in by_keyword.items()])
-    tried = F.flatten(F.transform(F.filter(table, lambda t: F.contains(norm, t["keyword"])), lambda t: t["rules"]))
+        by_gate.setdefault(r.gate, []).append(row)
+    table = F.array(*[F.struct(F.lit(f" {gate}").alias("gate"), F.array(*rows).alias("rules")) for gate, rows in by_gate.items()])
+    tried = F.flatten(F.transform(F.filter(table, lambda t: F.contains(norm, t["gate"])), lambda t: t["rules"]))
     found = F.sort_array(F.flatten(F.transform(tried, lambda r: _matches(norm, r))))
     levels = len(SCORES)
     start = F.struct(F.array(*[F.lit(-1)] * levels).alias("ends"), F.array().cast(DETECTIONS).alias("kept"))
@@ -79,7 +79,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stems: tuple[str, ...
 
     n_base counts the places of the fixed phrases; first_word and last_word are the
     smallest and largest word they start at, null without one. ``stems``: strings one of
-    which every rule's keyword contains. detections are intervals
+    which every rule's gate contains. detections are intervals
     of words with their label. A null or empty text has no words, no labels ("") and
     score 0. A null id stays null, repeated rows are scanned each, an empty table gives
     no rows, other columns are not read.

@@ -50,6 +50,47 @@ def test_licence_rules_are_many_and_reachable():
     assert any(r.label == "gpl-3.0-or-later" and re.search(f" (?:{r.pattern})(?= )", hits) for r in RULES)
 
 
+def strings_of(parsed):
+    """Strings that a parsed pattern matches: each branch, end of a repeat and choice of a letter, one at a time with the first of the others."""
+    found = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            parts = [chr(arg)]
+        elif name == "IN":
+            parts = ["x"] if str(arg[0][0]) in ("CATEGORY", "NEGATE") else [chr(v) for _, v in arg]
+        elif name == "MAX_REPEAT":
+            parts = [x * n for n in sorted({arg[0], min(arg[1], 1)} if arg[0] == 0 else {arg[0]}) for x in strings_of(arg[2])]
+        elif name == "BRANCH":
+            parts = [x for branch in arg[1] for x in strings_of(branch)]
+        else:
+            assert name == "SUBPATTERN", name
+            parts = strings_of(arg[3])
+        parts = [*dict.fromkeys(parts)]
+        found = [found[0] + x for x in parts] + [x + parts[0] for x in found[1:]]
+    return found
+
+
+def test_gates_let_every_match_through(spark, docs_of):
+    """Both spellings, all branches: the gate stands in what the pattern matches, and the scan tells what rules without gates do."""
+    texts = {}
+    for rule in RULES:
+        for x in strings_of(re._parser.parse(rule.pattern)):
+            x = " ".join(x.split())
+            assert re.fullmatch(rule.pattern, x) is None or f" {rule.gate}" in f" {x} ", rule
+            texts.setdefault(x, len(texts))
+    assert {"mit licence", "released under the mozilla public licence", "freebsd licence", "no part of this x may be reproduced"} <= texts.keys()
+    found = {r["doc_id"]: [tuple(d) for d in r["detections"]] for r in licenses.scan(docs_of([(i, x) for x, i in texts.items()])).collect()}
+    for x, i in texts.items():
+        norm, every = f" {x} ", []
+        for k, rule in enumerate(RULES):
+            for m in re.finditer(f" (?:{rule.pattern})(?= )", norm):
+                at = norm[: m.start()].count(" ")
+                every.append((at, at + m[0].count(" "), rule.priority, k, rule.label))
+        kept = [d for d in every if not any(o is not d and o[0] <= d[0] and o[1] >= d[1] and (o[2], o[1] - o[0], -o[3]) > (d[2], d[1] - d[0], -d[3]) for o in every)]
+        assert sorted(found[i]) == sorted((d[4], d[0], d[1]) for d in kept), x
+
+
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 SECRETS = {
     9001: "\U0001f600 Password: 'abcdefghijkl' token=secret=abcdefghijklmnop token=mytoken: abcdefghijklmnop",

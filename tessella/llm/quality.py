@@ -17,7 +17,7 @@ from tessella.llm.common import Scratch, n_chars_in, text_of, words_of
 LINE_DOCS = 50
 #: Neighbours that the SQL asks for besides; the operator doesn't, as each line of a shared block has the same two.
 LINE_NEIGHBOURS = 50
-#: Shorter lines are left alone: they carry structure, and are the same by chance.
+#: The SQL leaves shorter lines alone; the operator counts every line with a word, as menus and link lists are of short ones.
 LINE_WORDS = 5
 #: A document is rejected if the removed lines leave fewer words, or less than this share of its words.
 LEFT_WORDS = 10
@@ -71,13 +71,13 @@ def _repeats(keys: Column, width: int) -> Column:
 
 
 def host_lines(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line, document, neighbours, n): hashes of each line of LINE_WORDS words or more with its host, of the whole text, and of the lines around."""
+    """(doc_id, line, document, neighbours, n): hashes of each line with a word with its host, of the whole text, and of the lines around."""
     host = F.col("host")
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).alias("host"), text_of(text_col).alias("text"))
     split = picked.withColumn("lines", F.transform(F.split(F.lower("text"), "\n"), lambda x: words_of(x)))
     split = split.select("doc_id", "host", F.xxhash64("text").alias("document"), F.transform("lines", lambda w: F.struct(F.xxhash64(host, F.array_join(w, " ")).alias("line"), F.size(w).alias("n"))).alias("lines"))
     around = F.transform("lines", lambda x, i: F.struct(x["line"].alias("line"), x["n"].alias("n"), F.xxhash64(F.get("lines", i - 1)["line"], F.get("lines", i + 1)["line"], F.lit(0)).alias("neighbours")))
-    each = split.select("doc_id", "document", F.explode(F.filter(around, lambda x: x["n"] >= LINE_WORDS)).alias("x"))
+    each = split.select("doc_id", "document", F.explode(F.filter(around, lambda x: x["n"] > 0)).alias("x"))
     return each.select("doc_id", "document", "x.line", "x.neighbours", F.col("x.n").cast("long").alias("n"))
 
 

@@ -197,6 +197,14 @@ def test_shared_blocks_go_whole(spark, docs_of):
     assert all(found[i] == (False, i >= 200) for i in found)
 
 
+def test_menus_of_short_lines_go(spark, docs_of):
+    menu = "\n".join(["home", *(f"menu{k} item{k}" for k in range(40))])
+    rows = [(i, f"{menu}\n\nown{i} words{i} here{i}", "h") for i in range(60)]
+    rows += [(100 + i, f"{menu}\n\n" + " ".join(f"own{i}x{k}" for k in range(30)), "h") for i in range(5)]
+    found = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.op5(spark, docs_of(rows)).collect()}
+    assert all(found[i] == (False, i >= 100) for i in found)
+
+
 def targets_by_hand(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}

@@ -92,11 +92,21 @@ def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; of rows that repeat both an id and a text, one."""
+    """The rows of ``docs`` that stay, with their own columns; of rows that repeat both an id and a text, one.
+
+    Of a text that only rows with a null id have, one stays, unless the index had it before.
+    """
     spark = docs.sparkSession
+    before = Scratch(spark, "exact").table(index.table().filter("keep_id IS NULL").select(F.col("digest").alias("_before")), "before") if index else None
     groups = exact_groups(docs, index or DigestIndex(spark))
-    stay = groups.filter("kept").select(F.col("doc_id").alias("keep_id"), F.unhex("text_sha256").alias("keep_digest"))
-    own = fresh(docs, "digest")
-    marked = docs.withColumn(own, digest_of())
-    found = marked.join(stay, (marked["doc_id"] == stay["keep_id"]) & (marked[own] == stay["keep_digest"]), "left_semi")
-    return found.dropDuplicates(["doc_id", own]).drop(own)
+    stay = groups.filter("kept OR (doc_id IS NULL AND keep_id IS NULL)").select("keep_id", F.unhex("text_sha256").alias("keep_digest"))
+    if before is not None:
+        stay = stay.join(before, F.col("keep_id").isNull() & (F.col("keep_digest") == F.col("_before")), "left_anti")
+    # A null id is 0 with a longer digest: by plain equality, the join deals rows as dropDuplicates needs them.
+    key = lambda i, digest: (F.coalesce(i, F.lit(0)).cast("long"), F.when(i.isNull(), F.concat(digest, F.unhex(F.lit("00")))).otherwise(digest))
+    stay = stay.select(*[c.alias(n) for c, n in zip(key(F.col("keep_id"), F.col("keep_digest")), ("keep_id", "keep_digest"), strict=True)])
+    own_id, own = fresh(docs, "id"), fresh(docs, "digest")
+    of_id, of_text = key(docs["doc_id"].cast("long"), digest_of())
+    marked = docs.withColumn(own_id, of_id).withColumn(own, of_text)
+    found = marked.join(stay, (marked[own_id] == stay["keep_id"]) & (marked[own] == stay["keep_digest"]), "left_semi")
+    return found.dropDuplicates([own_id, own]).drop(own_id, own)

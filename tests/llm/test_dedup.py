@@ -28,6 +28,15 @@ def test_index_persists(spark, docs_of, tmp_path):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+def test_texts_without_an_id_stay_once(spark, docs_of):
+    docs = docs_of([(None, "alone"), (None, "Twice"), (None, "twice"), (None, "with id"), (4, "with id"), (5, "other")])
+    index = exact_dedup.DigestIndex(spark)
+    stay = lambda found: sorted((str(r["doc_id"]), r["text"].lower()) for r in found.collect())
+    want = [("4", "with id"), ("5", "other"), ("None", "alone"), ("None", "twice")]
+    assert stay(exact_dedup.keep_first(docs)) == want and stay(exact_dedup.keep_first(docs, index)) == want
+    assert stay(exact_dedup.keep_first(docs_of([(None, "alone"), (7, "alone"), (None, "new")]), index)) == [("None", "new")]
+
+
 def shingles(text, width=2):
     words = (text or "").translate(A_TO_Z).encode().split()
     return frozenset(tuple(words[i : i + width]) for i in range(max(len(words) - width + 1, min(len(words), 1))))

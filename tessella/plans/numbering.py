@@ -1,4 +1,4 @@
-"""Row numbers within groups of any size."""
+"""Row numbers and running sums within groups of any size."""
 
 from __future__ import annotations
 
@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from tessella.plans.scratch import Scratch
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
-    """``df`` with the 1-based place of each row within its group.
+def running(df: DataFrame, group: list[str], order: list[str], sums: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
+    """``df`` with the 1-based place of each row within its group, and for each of ``sums`` a column
+    ``<sum>_before``: the sum over the rows of the group that come before. Without ``group``, all rows are one.
 
     A group may hold a third of all rows, so it isn't sorted in one task: rows are dealt
-    by ranges of (group, order) and numbered within each range; the rows of the group in
-    earlier ranges are a running sum over ranges.
+    by ranges of (group, order) and numbered within each range; what the group has in
+    earlier ranges are running sums over ranges.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id())
-    dealt = Scratch(df.sparkSession, "ranked").table(dealt, "dealt")
-    counts = dealt.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    dealt = Scratch(df.sparkSession, "running").table(dealt, "dealt")
+    counts = dealt.groupBy(*group, "_part").agg(F.count("*").alias("_n"), *[F.sum(s).alias(f"_n_{s}") for s in sums])
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
-    return dealt.withColumn("_at", within).join(counts, [*group, "_part"]).withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_before", "_at")
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    counts = counts.select(*group, "_part", before("_n").alias("_before"), *[before(f"_n_{s}").alias(f"_before_{s}") for s in sums])
+    within = Window.partitionBy(*group, "_part").orderBy(*order)
+    sooner = within.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = dealt.select("*", F.row_number().over(within).alias("_at"), *[F.coalesce(F.sum(s).over(sooner), F.lit(0)).alias(f"_at_{s}") for s in sums])
+    joined = numbered.join(counts, [*group, "_part"])
+    added = [(F.col("_before") + F.col("_at")).alias(name), *[(F.col(f"_before_{s}") + F.col(f"_at_{s}")).alias(f"{s}_before") for s in sums]]
+    return joined.select(*df.columns, *added)
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """``df`` with the 1-based place of each row within its group."""
+    return running(df, group, order, name=name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -25,14 +26,36 @@ def scratch_root(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of this process, by name, and how to reach them; a stopped session is not needed for that.
+_made: dict[str, tuple] = {}
+
+
+@atexit.register
+def remove_all() -> None:
+    """Remove what results may have read until now. Tables that results don't read go before, by ``keep``."""
+    while _made:
+        root, (jvm, conf) = _made.popitem()
+        try:
+            _delete(jvm, conf, root)
+        except Exception:  # noqa: BLE001  the virtual machine may be gone; nothing is left to be done then
+            return
+
+
+def _delete(jvm, conf, folder: str) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(conf).delete(path, True)
+
+
 class Scratch:
-    """A folder of Parquet tables. They survive the loss of any executor."""
+    """A folder of Parquet tables. They survive the loss of any executor, and go when this process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
         self._tables: list[DataFrame] = []
+        self._reach = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        _made[self.root] = self._reach
 
     def path(self, name: str) -> str:
         self._count += 1
@@ -49,10 +72,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove written tables that nothing reads any more."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(*self._reach, df._scratch_path)
 
     def keep(self, *tables: DataFrame) -> None:
         """Remove all written tables but these."""

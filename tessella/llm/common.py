@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,5 +74,39 @@ def n_chars_in(text: Column, chars: str) -> Column:
     ).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` worked out once for each row however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Values whose states are strung together one by one; longer arrays are cut into parts of so many.
+PART = 128
+
+
+def states_before(values: Column, zero: Column, add: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """The sum of all earlier values, for each value of the array; ``add`` is associative and ``zero`` adds nothing.
+
+    Appending to an array copies it, so that one pass over n values would copy n squared.
+    Here parts of the array are summed, the states before the parts are found in the same
+    way from these sums, and each part is gone through from its own state: n copies for
+    each level, up to ``PART ** levels`` values.
+    """
+
+    def one_by_one(part: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("last"), F.slice(F.array(start), 1, 0).alias("found"))
+        step = lambda s, x: F.struct(add(s["last"], x).alias("last"), F.concat(s["found"], F.array(s["last"])).alias("found"))
+        return F.aggregate(part, begin, step, lambda s: s["found"])
+
+    def by_parts(whole: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / PART).cast("int")), lambda k: F.slice(whole, k * PART + 1, PART))
+        starts = lambda parts: states_before(F.transform(parts, lambda p: F.aggregate(p, zero, add)), zero, add, levels - 1)
+        each = lambda parts, before: F.flatten(F.transform(parts, lambda p, i: one_by_one(p, F.get(before, i))))
+        return let(cut, lambda parts: let(starts(parts), lambda before: each(parts, before)))
+
+    if levels <= 1:
+        return one_by_one(values, zero)
+    return let(values, lambda whole: F.when(F.size(whole) <= PART, one_by_one(whole, zero)).otherwise(by_parts(whole)))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

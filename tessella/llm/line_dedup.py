@@ -1,9 +1,9 @@
 """Line dedup within one edit, by a join of deletion neighbourhoods.
 
 A line is dropped if an earlier line, by doc_id and place, is equal or one edit away:
-a word put in, taken out or replaced. Lines are compared by their words in lower case;
-only lines of MIN_WORDS words or more take part, so that one edit leaves four words
-of five.
+a word put in, taken out or replaced. Lines are compared by their words in lower case.
+All lines with a word are compared for equality; the edit bound is one word for lines of
+MIN_WORDS words or more, of which an edit leaves four in five, and none for shorter ones.
 
 Every line stands for the patterns it matches with a hole at some place: with one word
 taken out there, or with nothing there. Lines that share a pattern are all one edit
@@ -21,8 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, fresh, text_of, words_of
+from tessella.llm.common import Scratch, fresh, states_before, text_of, words_of
 
+#: Words from which on a line may be an edit away from another.
 MIN_WORDS = 5
 
 
@@ -40,8 +41,8 @@ def doc_of(at: Column) -> Column:
     return F.floor((at - F.pmod(at, F.lit(_LINES).cast("decimal(11,0)"))) / F.lit(_LINES).cast("decimal(11,0)")).cast("long")
 
 
-def lines_of(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, n, norm) of the lines that take part: their words, and these with single blanks between."""
+def lines_of(docs: DataFrame, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line_no, n, norm) of the lines with so many words: their number, and the words with single blanks between."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     split = picked.select("doc_id", F.transform(F.split(F.lower("text"), "\n"), lambda x: words_of(x)).alias("lines"))
     each = F.transform("lines", lambda w, i: F.when(F.size(w) >= min_words, F.struct(i.alias("line_no"), F.size(w).alias("n"), F.array_join(w, " ").alias("norm"))))
@@ -80,10 +81,17 @@ def patterns(texts: DataFrame) -> DataFrame:
     """(place, pattern) of (place, n, words, shared): keys of the lines' patterns with a hole in the thirds that ``shared`` says.
 
     ``shared`` holds numbers of the keys of ``thirds``. A pattern's key hashes the hole's
-    place, the words before it and after it, and their number; the hashes of all
-    beginnings and ends of a line are chained.
+    place, the words before it and after it, and their number. Each word is hashed with
+    its place, from the start for the words before a hole and from the end for those after
+    it, and the hashes are joined bit by bit, so that all beginnings and ends of a line
+    are had from two passes.
     """
-    chain = lambda w: F.aggregate(w, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.xxhash64(F.element_at(s, -1), x))))
+    either = lambda x, y: x.bitwiseXOR(y)
+    none_yet = F.lit(0).cast("long")
+    upto = lambda hashes: states_before(F.concat(hashes, F.array(none_yet)), none_yet, either)
+    texts = texts.withColumn("before", upto(F.transform("words", lambda w, i: F.xxhash64(i, w))))
+    texts = texts.withColumn("behind", upto(F.transform("words", lambda w, i: F.xxhash64(w, F.col("n") - i))))
+    after = lambda p: either(F.get("behind", F.col("n")), F.get("behind", p))
     n = F.col("n")
     a, b = _thirds(n)
     c, d = _thirds(n - 1)
@@ -92,10 +100,10 @@ def patterns(texts: DataFrame) -> DataFrame:
     zero = F.lit(0)
     gaps = F.concat(span(0, b, n), span(1, a, b), span(2, zero, a))
     taken = F.concat(span(0, b, n - 1), span(1, a, b - 1), span(2, zero, a - 1), span(3, d, n - 1), span(4, c, d), span(5, zero, c))
-    chained = texts.select("place", "n", chain(F.col("words")).alias("before"), F.reverse(chain(F.reverse("words"))).alias("after"), F.array_distinct(gaps).alias("gaps"), F.array_distinct(taken).alias("taken"))
+    chained = texts.select("place", "n", "before", "behind", F.array_distinct(gaps).alias("gaps"), F.array_distinct(taken).alias("taken"))
     keys = F.concat(
-        F.transform("gaps", lambda p: F.xxhash64(p, n, F.get("before", p), F.get("after", p))),
-        F.transform("taken", lambda p: F.xxhash64(p, n - 1, F.get("before", p), F.get("after", p + 1))),
+        F.transform("gaps", lambda p: F.xxhash64(p, n, F.get("before", p), after(p))),
+        F.transform("taken", lambda p: F.xxhash64(p, n - 1, F.get("before", p), after(p + 1))),
     )
     return chained.select("place", F.explode(keys).alias("pattern"))
 
@@ -115,7 +123,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     names = [f"k{i}" for i in range(6)]
-    every = lines_of(docs, min_words)
+    every = lines_of(docs)
     keys = [k.alias(name) for k, name in zip(thirds(F.col("norm"), F.col("n"), min_words), names, strict=True)]
     every = scratch.table(every.select("doc_id", "line_no", digest(F.col("norm")).alias("line"), *keys), "lines")
     at = place(F.col("doc_id"), F.col("line_no"))
@@ -163,7 +171,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_exact, n_near, n_kept, dropped.
 
     dropped lists the numbers of the dropped lines, from 0. A null text has one empty
-    line. Blank and short lines always stay. Rows that repeat a doc_id are the same
+    line. Blank lines always stay; lines of fewer than ``min_words`` words go if they are
+    equal to an earlier one. Rows that repeat a doc_id are the same
     place: neither is earlier, and they share the union of their dropped lines. Null ids
     come first and are one place. An empty table gives no rows. Other columns are not
     read.

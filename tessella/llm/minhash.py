@@ -12,10 +12,12 @@ How hot groups are kept from growing quadratically:
   members are tested against the centre alone, after a look at sketches, two bits of
   every signature value; those linked get a common root;
 * only members that the centre's root didn't take are left to compare with the others of
-  the centre's buckets. Those comparisons are made block against block, by counting in
-  inverted lists of the block's sets, and return links alone: no pairs are listed, and a
-  task holds two blocks however large the group. Every pair that shares a bucket is
-  then confirmed, refuted or known to be connected;
+  the centre's buckets. Those outside are cut into blocks by the bytes of their sets; a
+  block's sets are put into inverted lists, and the other members pass by one after the
+  other, so a task holds a block and one set more however large the group. A set is sent
+  once for each block, not for each pair, and what comes back is a forest: a link is
+  returned only if it joins what the task had not joined before. Every pair that shares
+  a bucket is then confirmed, refuted or known to be connected;
 * roots are found by contracting the link graph in written tables. Nothing of it
   reaches the driver but counts.
 """
@@ -33,8 +35,10 @@ from tessella.llm.common import Scratch, ship
 PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Documents of a block, of those to compare and of those to compare them with.
-BLOCK, AGAINST = 128, 512
+#: Words of a shingle, where nothing else is asked for.
+WIDTH = 5
+#: Bytes of sets and documents of a block of those outside, and documents that pass by in one task.
+BLOCK_BYTES, BLOCK, AGAINST = 4 * 2**20, 1024, 4096
 #: Two bits of each signature value, 32 values to a long, and how many values may differ in them. At similarity 0.8
 #: 19 of 128 differ on average, with a deviation of 4: more than 42 with a probability near 1e-8.
 SKETCH = 2 * PERMUTATIONS // 32
@@ -68,7 +72,7 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingle_set(text: bytes | None, width: int = 2) -> np.ndarray:
+def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; of a shorter text the whole sequence is the only one."""
     words = (text or b"").lower().split()
     if not words:
@@ -96,7 +100,7 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, np.bitwise_or.reduce(bits, axis=1)
 
 
-def signatures(docs: DataFrame, width: int = 2) -> DataFrame:
+def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, set_id, bands, sketch); the last three are null for an empty set."""
 
     def run(batches):
@@ -116,7 +120,7 @@ def signatures(docs: DataFrame, width: int = 2) -> DataFrame:
     return _picked(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>")
 
 
-def sets(docs: DataFrame, width: int = 2) -> DataFrame:
+def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(cid, shingles) of every row."""
 
     def run(batches):
@@ -181,7 +185,7 @@ def merge_roots(roots: DataFrame, more: DataFrame, scratch: Scratch) -> DataFram
     return scratch.table(moved.unionByName(more), "roots")
 
 
-def near_groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if ``100 * intersection >= percent * union`` of their
@@ -235,9 +239,12 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
 
     # Members outside their centre's root, against all members of the centre.
     placed = _with_roots(_with_roots(crowd, roots).select(F.col("center").alias("cid"), F.col("cid").alias("member"), F.col("root").alias("member_root")), roots)
-    placed = scratch.table(placed.select(F.col("cid").alias("center"), F.col("member").alias("cid"), (F.col("root") != F.col("member_root")).alias("outside")), "placed")
-    parts = placed.groupBy("center").agg(F.count("*").alias("n"), F.count_if("outside").alias("out")).filter("out > 0 AND n > 1")
-    parts = scratch.table(parts.select("center", F.ceil(F.col("out") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / AGAINST).cast("int").alias("against")), "parts")
+    placed = placed.select(F.col("cid").alias("center"), F.col("member").alias("cid"), (F.col("root") != F.col("member_root")).alias("outside"))
+    placed = scratch.table(placed.join(sketches.select("cid", "n_shingles"), "cid"), "placed")
+    heavy = F.sum(F.when(F.col("outside"), 8 * F.col("n_shingles")))
+    parts = placed.groupBy("center").agg(F.count("*").alias("n"), F.count_if("outside").alias("out"), heavy.alias("bytes")).filter("out > 0 AND n > 1")
+    blocks = F.ceil(F.greatest(F.col("out") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    parts = scratch.table(parts.select("center", blocks.alias("blocks"), F.ceil(F.col("n") / AGAINST).cast("int").alias("against")), "parts")
     spot = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = placed.join(parts, "center")
@@ -263,52 +270,66 @@ def _linked_roots(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataF
     return merge_roots(roots, contract(_with_roots(ends, roots).select("a", F.col("root").alias("b")), scratch), scratch)
 
 
-def block_links(out: list[np.ndarray], others: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Places of the linked pairs of two blocks of sets: each set of the second is counted in the first's inverted lists."""
-    sizes = np.array([len(s) for s in out])
-    values, owners = np.concatenate(out), np.repeat(np.arange(len(out)), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owners = values[order], owners[order]
-    found = []
-    for k, other in enumerate(others):
-        low, high = np.searchsorted(values, other, "left"), np.searchsorted(values, other, "right")
+class Block:
+    """Some sets, to be compared with others one by one: counts come from the inverted lists of the sets' values."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent, self.sizes = percent, np.array([len(s) for s in sets])
+        values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owners = values[order], owners[order]
+
+    def linked(self, other: np.ndarray) -> list[int]:
+        """Places of the block's sets that are linked with ``other``."""
+        low, high = np.searchsorted(self.values, other, "left"), np.searchsorted(self.values, other, "right")
         n = high - low
         some = n > 0
         low, n = low[some], n[some]
-        places = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, int)
-        both = np.bincount(owners[places], minlength=len(out))
-        found += [(int(i), k) for i in np.flatnonzero(100 * both >= percent * (sizes + len(other) - both))]
-    return found
+        if not len(n):
+            return []
+        places = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(self.owners[places], minlength=len(self.sizes))
+        return np.flatnonzero(100 * both >= self.percent * (self.sizes + len(other) - both)).tolist()
+
+
+class Forest(dict):
+    """Which documents a task has found to be connected."""
+
+    def end(self, a: int) -> int:
+        while (up := self.get(a, a)) != a:
+            self[a] = a = self.get(up, up)
+        return a
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart; they aren't any more."""
+        a, b = self.end(a), self.end(b)
+        self[a] = b
+        return a != b
 
 
 def _block_links(dealt: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of linked documents of (center, block, other): side 0 against side 1."""
+    """(a, b) of linked documents of (center, block, other), side 0 against side 1: as many links as connect them."""
     spark = dealt.sparkSession
     keys = ["center", "block", "other"]
 
-    def flush(sides):
-        if sides[0] and sides[1]:
-            pairs = block_links([s for _, s in sides[0]], [s for _, s in sides[1]], percent)
-            pairs = [(sides[0][i][0], sides[1][k][0]) for i, k in pairs]
-            return [(a, b) for a, b in pairs if a != b]
-        return []
-
     def run(batches):
-        now, sides = None, ([], [])
+        now, ids, sets_, block, forest = None, [], [], None, Forest()
         for batch in batches:
-            sets_of, ends = batch.column("shingles").flatten().to_numpy(), batch.column("shingles").value_lengths().to_numpy(zero_copy_only=False).cumsum()
-            found = []
+            values, ends = batch.column("shingles").flatten().to_numpy(), batch.column("shingles").value_lengths().to_numpy(zero_copy_only=False).cumsum()
+            found, start = [], 0
             rows = zip(*(batch.column(c).to_pylist() for c in (*keys, "side", "cid")), ends.tolist(), strict=True)
-            start = 0
-            for center, block, other, side, cid, end in rows:
-                if (center, block, other) != now:
-                    found += flush(sides)
-                    now, sides = (center, block, other), ([], [])
-                sides[side].append((cid, sets_of[start:end]))
-                start = end
+            for center, part, other, side, cid, end in rows:
+                own, start = values[start:end], end
+                if (center, part, other) != now:
+                    now, ids, sets_, block, forest = (center, part, other), [], [], None, Forest()
+                if side == 0:
+                    ids.append(cid)
+                    sets_.append(own.copy())
+                elif ids:
+                    if block is None:
+                        block, sets_ = Block(sets_, percent), []
+                    found += [(ids[i], cid) for i in block.linked(own) if forest.join(ids[i], cid)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        found = flush(sides)
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.select(*keys, "side", "cid", "shingles").repartition(parts, *keys).sortWithinPartitions(*keys, "side")
@@ -320,7 +341,7 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return near_groups(docs)
+    return near_groups(docs, width=2)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document of a source gets the same expected number of copies: the source's
-target over its size. The whole part is allocated for certain. The rest is the
-document's inclusion probability; documents are ranked by random odds divided by
-inclusion odds, and the first of a source are taken up to its remaining words.
-
-A source may hold a third of all rows, so its documents never meet in one task: the
-words of ``BINS`` bins of rank are summed, the bin where the remaining words run out
-is found among the sums, and only that bin's documents are ranked one by one.
+A document's expected number of copies has a whole part, the same for all documents of
+its source, which is allocated for certain, and a chance for one copy more. Chances are
+unequal: they grow with the root of a document's size, up to certainty, and are scaled
+so that the expected words of the source are its target. Documents are ranked by random
+odds divided by the odds of their chance, and the first of a source are taken, up to a
+fixed size: the words that are left of the target. The one document that comes nearest
+to what is missing then may close the gap.
+
+A source may hold a third of all rows, so its documents never meet in one task: ranks
+and running sums of words are found by ranges (``plans.numbering``).
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Scratch, fresh, text_of, words_of
+from tessella.plans.numbering import running
 
 #: Weights of the sources in code-point order, repeating; null comes last.
 WEIGHTS = (5, 2, 1)
 #: No target is above so many times the source's size, and no document is taken more often.
 CAP = 3
-BINS = 1024
-#: A round takes documents in rank order up to the first that doesn't fit; the next goes on with those that still fit.
-ROUNDS = 3
+#: Chances grow with this power of the size: 0 gives all documents the same, 1 all words.
+POWER = 0.5
 SEED = "mix-1"
 
 
@@ -34,91 +36,86 @@ def uniform(seed: str, key: Column) -> Column:
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, source_size, target) of each source.
+    """(source, sid, source_size, target) of each source; sid: its place in order of code points, null last.
 
     Shares follow the weights; targets stop at ``cap`` times the source's size and the
     excess goes to the others by weight, until none is above. With the sources in order
     of size by weight, those that stop are the first ones, so the level of the others is
-    found from running sums. One row per source passes through one task.
+    found from running sums. What the driver sees are the totals and the level.
     """
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    at = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    ratio = F.col("source_size") / F.col("weight")
-    up = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    found = (
-        sums.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(at, F.lit(len(weights))) + 1).cast("int")))
-        .withColumn("ratio", ratio)
-        .withColumn("left", F.sum("source_size").over(every) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("shares", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("level", F.col("left") / F.col("shares"))
-    )
-    level = F.min(F.when(F.col("level") <= cap * F.col("ratio"), F.struct("ratio", "source_size", "level"))).over(every)["level"]
-    return found.withColumn("final", level).select("source", "source_size", F.least(F.lit(float(cap)) * F.col("source_size"), F.col("final") * F.col("weight")).alias("target"))
-
-
-def copies(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, copies.
-
-    A null text has size 0 and a document of size 0 gets the whole copies only, which
-    take no words. A null source is a source, the last one. Rows that repeat a doc_id
-    are documents of their own; a null doc_id draws like any other value. An empty
-    table gives no rows. Columns besides doc_id, text and source are not read.
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("none", F.col("source").isNull())
+    found = running(sums, [], ["none", "source"], name="sid")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("sid") - 1, F.lit(len(weights))) + 1).cast("int"))
+    found = found.withColumn("weight", weight).withColumn("ratio", F.col("source_size") / F.col("weight"))
+    found = running(found, [], ["ratio", "none", "source"], ("source_size", "weight"))
+    total = found.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.sum("weight").alias("weight")).first()
+    level = (total["size"] - cap * F.col("source_size_before")) / (F.lit(total["weight"]) - F.col("weight_before"))
+    fits = found.withColumn("level", level).filter(F.col("level") <= cap * F.col("ratio"))
+    final = fits.agg(F.min(F.struct("ratio", "source_size", "level"))["level"]).first()[0]
+    goal = F.least(F.lit(float(cap)) * F.col("source_size"), F.lit(float(final or 0.0)) * F.col("weight"))
+    return found.select("source", "sid", "source_size", goal.alias("target"))
+
+
+def size_class(size: Column) -> Column:
+    """The number of binary digits: sizes of a class differ by less than a factor of two."""
+    return F.length(F.bin(size))
+
+
+def chances(sized: DataFrame, plan: DataFrame, power: float = POWER) -> DataFrame:
+    """(sid, class, chance) from (sid, size) and (sid, words): least(1, c 2 ** (power (class - 1))), with c such that
+    the chances times the sizes add up to the words.
+
+    A source has as many rows here as sizes have binary digits. From the largest class
+    down, c is what would fit if the classes above were certain; the first c that makes
+    no chance of the rest more than 1 holds.
+    """
+    sums = sized.filter("size > 0").groupBy("sid", size_class(F.col("size")).alias("class")).agg(F.sum("size").alias("n"))
+    rows = sums.join(plan.select("sid", "words"), "sid").withColumn("x", F.pow(F.lit(2.0), power * (F.col("class") - 1)))
+    down = Window.partitionBy("sid").orderBy(F.col("class").desc())
+    above = F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("x") * F.col("n")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("c", (F.col("words") - above) / rest)
+    fits = F.max(F.when(F.col("c") * F.col("x") <= 1, F.struct("class", "c"))).over(Window.partitionBy("sid"))["c"]
+    return rows.select("sid", "class", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(fits, F.lit(1.0)) * F.col("x"))).alias("chance"))
+
+
+def copies(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, power: float = POWER) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, chance, copies.
+
+    chance is that of a copy more than the whole ones. A null text has size 0; a document
+    of size 0 gets the whole copies only, which take no words, and its chance is 0. A null
+    source is a source, the last one. Rows that repeat a doc_id are documents of their
+    own; a null doc_id draws like any other value. An empty table gives no rows. Columns
+    besides doc_id, text and source are not read.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     sized = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words_of(text_of("text"))).cast("long").alias("size")), "sized")
     plan = targets(sized, weights, cap).withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    plan = plan.withColumn("whole", F.floor("rate")).withColumn("chance", F.col("rate") - F.col("whole")).drop("rate")
-    plan = scratch.table(plan.withColumn("words", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))), "plan")
-    u = uniform(seed, F.col("doc_id"))
-    odds = F.try_divide(F.col("u") / (1 - F.col("u")), F.col("chance") / (1 - F.col("chance")))
-    ranked = sized.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    ranked = ranked.withColumn("u", u).withColumn("q", odds).withColumn("bin", F.floor(F.col("u") * BINS).cast("int"))
-    ranked = scratch.table(ranked.select("doc_id", "sid", "size", "source_size", "target", "whole", "words", "bin", "q"), "ranked")
-
-    open_, words, picked = ranked.filter("size > 0"), scratch.table(plan.select("sid", "words"), "words"), None
-    for _ in range(ROUNDS):
-        fit = scratch.table(open_.drop("words").join(words, "sid").filter("size <= words"), "fit")
-        of_bins = fit.groupBy("sid", "bin").agg(F.sum("size").alias("n"), F.first("words").alias("words"))
-        running = F.sum("n").over(Window.partitionBy("sid").orderBy("bin"))
-        of_bins = of_bins.withColumn("before", running - F.col("n")).filter("before < words").select("sid", "bin", "before", (F.col("before") + F.col("n") > F.col("words")).alias("last"))
-        near = fit.join(scratch.table(of_bins, "bins"), ["sid", "bin"])
-        order = Window.partitionBy("sid").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        one_by_one = near.filter("last").withColumn("upto", F.col("before") + F.sum("size").over(order)).filter("upto <= words")
-        got = scratch.table(near.filter("NOT last").unionByName(one_by_one.drop("upto")).drop("last", "before"), "picked")
-        picked = got if picked is None else picked.unionByName(got)
-        used = got.groupBy("sid").agg(F.sum("size").alias("used"))
-        words = scratch.table(words.join(used, "sid", "left").select("sid", (F.col("words") - F.coalesce("used", F.lit(0))).alias("words")), "words")
-        taken = picked.groupBy("sid", "bin", "doc_id", "size").agg(F.count("*").alias("extra"))
-        open_ = fit.join(_named(taken, "_t_"), _same("_t_"), "left_anti")
-
-    # Rows that repeat a doc_id and a size draw alike; what is taken of them goes to the first.
-    twins = Window.partitionBy("sid", "bin", "doc_id", "size").orderBy("q")
-    numbered = ranked.drop("words").withColumn("twin", F.row_number().over(twins))
-    numbered = numbered.join(_named(scratch.table(taken, "taken"), "_t_"), _same("_t_"), "left")
-    numbered = numbered.withColumn("more", F.when(F.col("twin") <= F.coalesce("_t_extra", F.lit(0)), 1).otherwise(0))
-    numbered = scratch.table(numbered.select(*[c for c in numbered.columns if not c.startswith("_t_")]), "numbered")
-
-    # What is left is less than any document that wasn't taken; the one that comes nearest may close the gap.
-    gap = F.abs(F.col("size") - F.col("words"))
-    near = numbered.filter("more = 0 AND size > 0").join(words, "sid").filter(gap < F.col("words"))
-    near = near.groupBy("sid").agg(F.min(F.struct(gap.alias("gap"), "q", "doc_id", "twin", "bin", "size")).alias("c"))
-    last_ones = scratch.table(near.select("sid", "c.bin", "c.doc_id", "c.size", "c.twin"), "last")
-    near = _named(last_ones, "_l_")
-    scratch.keep(numbered, last_ones)
-    found = numbered.join(near, _same("_l_") & (F.col("twin") == F.col("_l_twin")), "left")
-    last = F.when(F.col("_l_sid").isNotNull(), 1).otherwise(0)
-    return found.select("doc_id", "size", "source_size", "target", (F.col("whole") + F.col("more") + last).cast("int").alias("copies"))
-
-
-def _named(df: DataFrame, prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({c: f"{prefix}{c}" for c in df.columns})
-
-
-def _same(prefix: str) -> Column:
-    """The same draw: source, bin, size and id, which may be null."""
-    return (F.col("sid") == F.col(f"{prefix}sid")) & (F.col("bin") == F.col(f"{prefix}bin")) & (F.col("size") == F.col(f"{prefix}size")) & F.col("doc_id").eqNullSafe(F.col(f"{prefix}doc_id"))
+    plan = plan.withColumn("whole", F.floor("rate")).withColumn("words", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = scratch.table(plan.drop("rate"), "plan")
+    of_source = plan.select(F.col("source").alias("_source"), "sid", "source_size", "target", "whole", "words")
+    placed = sized.join(of_source, F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
+    placed = scratch.table(placed.withColumn("class", size_class(F.col("size"))), "placed")
+    known = scratch.table(chances(placed.select("sid", "size"), plan, power), "chances")
+
+    drawn = placed.join(known, ["sid", "class"], "left").withColumn("chance", F.coalesce("chance", F.lit(0.0))).withColumn("u", uniform(seed, F.col("doc_id")))
+    odds = F.when(F.col("chance") >= 1, 0.0).otherwise(F.try_divide(F.col("u") / (1 - F.col("u")), F.col("chance") / (1 - F.col("chance"))))
+    # Documents of size 0 come last: they take part in nothing.
+    drawn = drawn.select("doc_id", "sid", "size", "source_size", "target", "whole", "words", "chance", F.when(F.col("size") > 0, odds).alias("q"))
+    drawn = drawn.withColumn("idle", F.col("q").isNull())
+    order = ["idle", "q", "doc_id", "size"]
+    ranked = running(drawn, ["sid"], order, ("size",), "place")
+    ranked = ranked.withColumn("more", ~F.col("idle") & (F.col("size_before") + F.col("size") <= F.col("words")))
+    ranked = scratch.table(ranked.drop("size_before", "idle", "q"), "ranked")
+
+    used = ranked.filter("more").groupBy("sid").agg(F.sum("size").alias("used"))
+    rest = plan.join(used, "sid", "left").select("sid", (F.col("words") - F.coalesce("used", F.lit(0))).alias("rest"))
+    gap = F.abs(F.col("size") - F.col("rest"))
+    near = ranked.filter("NOT more AND size > 0").join(scratch.table(rest, "rest"), "sid").filter(gap < F.col("rest"))
+    near = scratch.table(near.groupBy("sid").agg(F.min(F.struct(gap.alias("gap"), "place"))["place"].alias("place")), "last")
+    scratch.keep(ranked, near)
+    found = ranked.join(near.withColumn("last", F.lit(1)), ["sid", "place"], "left")
+    return found.select("doc_id", "size", "source_size", "target", "chance", (F.col("whole") + F.col("more").cast("int") + F.coalesce("last", F.lit(0))).cast("int").alias("copies"))
 
 
 def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -43,11 +43,10 @@ def _quality_sql() -> str:
         windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + {quality.WINDOW - 1}]) AS k FROM starts),
         again AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM windows WHERE k > 1),
         rep AS (SELECT doc_id, CAST(sum(least({quality.WINDOW}, coalesce(next - i, {quality.WINDOW}))) AS BIGINT) AS n_repeat_words FROM again GROUP BY 1),
-        nl AS (SELECT doc_id, source, text, list_transform(string_split(lower(text), chr(10)), lambda x: array_to_string(regexp_extract_all(x, {_WORD}), ' ')) AS nl FROM d),
-        li AS (SELECT doc_id, source, text, nl, unnest(nl) AS line, generate_subscripts(nl, 1) AS i FROM nl),
-        long AS (SELECT *, len(string_split(line, ' ')) AS n, CASE WHEN i > 1 THEN nl[i - 1] END AS before, CASE WHEN i < len(nl) THEN nl[i + 1] END AS after FROM li WHERE len(string_split(line, ' ')) >= {quality.LINE_WORDS}),
-        often AS (SELECT coalesce(source, chr(0)) AS s, line FROM long GROUP BY 1, 2 HAVING count(DISTINCT text) > {quality.LINE_DOCS} AND count(DISTINCT (before, after)) > {quality.LINE_NEIGHBOURS}),
-        gone AS (SELECT doc_id, sum(n) AS gone FROM long JOIN often ON often.s = coalesce(long.source, chr(0)) AND often.line = long.line GROUP BY 1),
+        li AS (SELECT doc_id, source, unnest(list_transform(string_split(lower(text), chr(10)), lambda x: array_to_string(regexp_extract_all(x, {_WORD}), ' '))) AS line FROM d),
+        host AS (SELECT doc_id, coalesce(source, chr(0)) AS s, line, len(string_split(line, ' ')) AS n FROM li WHERE line <> ''),
+        often AS (SELECT s, line FROM host GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > {quality.LINE_DOCS}),
+        gone AS (SELECT doc_id, sum(n) AS gone FROM host JOIN often USING (s, line) GROUP BY 1),
         m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
             CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
             coalesce(n_repeat_words, 0) AS n_repeat_words, gone FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
@@ -78,7 +77,7 @@ def _secrets_sql() -> str:
 
 def _mixing_sql() -> str:
     weights = f"[{', '.join(map(str, mixing.WEIGHTS))}]"
-    sql = f"""
+    return f"""
         WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size FROM documents),
         sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sized GROUP BY 1),
         weighed AS (SELECT *, {weights}[CAST((sid - 1) % {len(mixing.WEIGHTS)} + 1 AS INTEGER)] AS weight FROM sums),
@@ -87,32 +86,25 @@ def _mixing_sql() -> str:
         level AS (SELECT CAST(rest AS DOUBLE) / CAST(shares AS DOUBLE) AS level FROM levels WHERE CAST(rest AS DOUBLE) / CAST(shares AS DOUBLE) <= {mixing.CAP} * ratio ORDER BY ratio, source_size LIMIT 1),
         goals AS (SELECT source, sid, source_size, least({float(mixing.CAP)} * source_size, (SELECT level FROM level) * weight) AS target FROM weighed),
         rates AS (SELECT *, coalesce(target / nullif(CAST(source_size AS DOUBLE), 0), 0) AS rate FROM goals),
-        plan AS (SELECT *, CAST(floor(rate) AS BIGINT) AS whole, rate - floor(rate) AS chance, target - floor(rate) * source_size AS words FROM rates),
-        drawn AS (SELECT *, (CAST(('0x' || substr(md5('{mixing.SEED}|' || doc_id), 1, 13)) AS UBIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM sized),
-        ranked AS (SELECT doc_id, d.source, sid, size, source_size, target, whole, words, CAST(floor(u * {mixing.BINS}) AS INTEGER) AS bin, (u / (1 - u)) / nullif(chance / (1 - chance), 0) AS q
-            FROM drawn AS d JOIN plan AS p ON d.source IS NOT DISTINCT FROM p.source),
-        w0 AS (SELECT sid, words FROM plan)"""
-    taken = []
-    for k in range(mixing.ROUNDS):
-        skip = "".join(f" AND doc_id NOT IN (SELECT doc_id FROM t{j})" for j in range(k))
-        sql += f""",
-        c{k} AS (SELECT r.doc_id, r.sid, r.size, w.words, sum(r.size) OVER (PARTITION BY r.sid ORDER BY bin, q, r.doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM ranked AS r JOIN w{k} AS w ON r.sid = w.sid WHERE r.size > 0 AND r.size <= w.words{skip}),
-        t{k} AS (SELECT doc_id, sid, size FROM c{k} WHERE upto <= words),
-        w{k + 1} AS (SELECT w.sid, any_value(w.words) - coalesce(sum(t.size), 0) AS words FROM w{k} AS w LEFT JOIN t{k} AS t ON t.sid = w.sid GROUP BY 1)"""
-        taken.append(f"SELECT doc_id FROM t{k}")
-    every = " UNION ALL ".join(taken)
-    return f"""{sql},
-        more AS ({every}),
-        gaps AS (SELECT doc_id, row_number() OVER (PARTITION BY r.sid ORDER BY abs(size - w.words), q, doc_id) AS k FROM ranked AS r JOIN w{mixing.ROUNDS} AS w ON r.sid = w.sid
-            WHERE size > 0 AND abs(size - w.words) < w.words AND doc_id NOT IN (SELECT doc_id FROM more)),
-        every AS (SELECT doc_id FROM more UNION ALL SELECT doc_id FROM gaps WHERE k = 1)
-        SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN doc_id IN (SELECT doc_id FROM every) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM ranked"""
+        plan AS (SELECT *, CAST(floor(rate) AS BIGINT) AS whole, target - floor(rate) * source_size AS words FROM rates),
+        placed AS (SELECT doc_id, size, sid, source_size, target, whole, words, length(bin(size)) AS class FROM sized AS d JOIN plan AS p ON d.source IS NOT DISTINCT FROM p.source),
+        classes AS (SELECT sid, class, any_value(words) AS words, CAST(sum(size) AS DOUBLE) AS n, pow(2.0::DOUBLE, {mixing.POWER} * (class - 1)) AS x FROM placed WHERE size > 0 GROUP BY 1, 2),
+        scales AS (SELECT *, (words - coalesce(sum(n) OVER (down ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(x * n) OVER (down ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c
+            FROM classes WINDOW down AS (PARTITION BY sid ORDER BY class DESC)),
+        best AS (SELECT sid, arg_max(c, class) AS c FROM scales WHERE c * x <= 1 GROUP BY 1),
+        chances AS (SELECT s.sid, class, greatest(0, least(1, coalesce(b.c, 1) * x)) AS chance FROM scales AS s LEFT JOIN best AS b ON b.sid = s.sid),
+        drawn AS (SELECT p.*, chance, (CAST(('0x' || substr(md5('{mixing.SEED}|' || doc_id), 1, 13)) AS UBIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM placed AS p LEFT JOIN chances AS c ON c.sid = p.sid AND c.class = p.class),
+        odds AS (SELECT *, CASE WHEN size = 0 THEN NULL WHEN chance >= 1 THEN 0 ELSE (u / (1 - u)) / nullif(chance / (1 - chance), 0) END AS q FROM drawn),
+        upto AS (SELECT *, q IS NOT NULL AND sum(size) OVER (PARTITION BY sid ORDER BY q NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) <= words AS more FROM odds),
+        rest AS (SELECT sid, any_value(words) - coalesce(sum(size) FILTER (more), 0) AS rest FROM upto GROUP BY 1),
+        gaps AS (SELECT doc_id, row_number() OVER (PARTITION BY u.sid ORDER BY abs(size - rest), q NULLS LAST, doc_id) AS k FROM upto AS u JOIN rest AS r ON r.sid = u.sid WHERE NOT more AND size > 0 AND abs(size - rest) < rest)
+        SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN more OR doc_id IN (SELECT doc_id FROM gaps WHERE k = 1) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM upto"""
 
 
 def _licences_sql() -> str:
     """Blanks are doubled, so that neighbouring matches don't need the same one: RE2 can't look ahead."""
     twice = lambda p: p.replace(" ?", "(?:\x00)?").replace(" ", "  ").replace("\x00", "  ")
-    rules = ", ".join(f"({k}, '{r.label}', {r.priority}, '{' ' + r.keyword}', '{twice(r.pattern)}')" for k, r in enumerate(licenses.RULES))
+    rules = ", ".join(f"({k}, '{r.label}', {r.priority}, '{' ' + r.gate}', '{twice(r.pattern)}')" for k, r in enumerate(licenses.RULES))
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
     scores = f"[{', '.join(map(str, licenses.SCORES))}]"
     return f"""
@@ -123,8 +115,8 @@ def _licences_sql() -> str:
             len(string_split(wide, ' ' || replace(p, ' ', '  ') || ' ')) AS total FROM t, p WHERE contains(norm, ' ' || p || ' ')),
         places AS (SELECT doc_id, label, i, total, CAST(sum((length(gap) - length(replace(gap, ' ', ''))) // 2) OVER run + k * (i - 1) AS BIGINT) AS spot FROM hits WINDOW run AS (PARTITION BY doc_id, label ORDER BY i)),
         base AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS labels FROM places WHERE i < total GROUP BY 1),
-        r AS (SELECT * FROM (VALUES {rules}) AS v(rank, label, priority, keyword, pattern)),
-        tried AS (SELECT doc_id, rank, label, priority, regexp_extract_all(wide, ' (?:' || pattern || ') ') AS ms, regexp_split_to_array(wide, ' (?:' || pattern || ') ') AS gs FROM t, r WHERE contains(norm, keyword)),
+        r AS (SELECT * FROM (VALUES {rules}) AS v(rank, label, priority, gate, pattern)),
+        tried AS (SELECT doc_id, rank, label, priority, regexp_extract_all(wide, ' (?:' || pattern || ') ') AS ms, regexp_split_to_array(wide, ' (?:' || pattern || ') ') AS gs FROM t, r WHERE contains(norm, gate)),
         found AS (SELECT doc_id, rank, label, priority, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM tried WHERE len(ms) > 0),
         ends AS (SELECT doc_id, rank, label, priority, (length(m) - length(replace(m, ' ', ''))) // 2 AS n, sum((length(g) - length(replace(g, ' ', ''))) // 2 + (length(m) - length(replace(m, ' ', ''))) // 2) OVER (PARTITION BY doc_id, rank ORDER BY i) AS e FROM found),
         det AS (SELECT *, e - n AS s FROM ends),
@@ -153,13 +145,13 @@ def _lines_sql() -> str:
     return f"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS own, string_split(lower(coalesce(text, '')), chr(10)) AS ls FROM documents),
         li AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, regexp_extract_all(unnest(ls), {_WORD}) AS ws FROM d),
-        long AS (SELECT doc_id, i, ws, row_number() OVER (ORDER BY doc_id, i) AS spot FROM li WHERE len(ws) >= {line_dedup.MIN_WORDS}),
-        firsts AS (SELECT ws, min(spot) AS spot, CAST(len(ws) AS INTEGER) AS n FROM long GROUP BY ws),
+        spots AS (SELECT doc_id, i, ws, row_number() OVER (ORDER BY doc_id, i) AS spot FROM li WHERE len(ws) > 0),
+        firsts AS (SELECT ws, min(spot) AS spot, CAST(len(ws) AS INTEGER) AS n FROM spots GROUP BY ws),
         pats AS (SELECT spot, unnest(list_concat(
             list_transform(range(0, n + 1), lambda p: p || '|' || array_to_string(ws[1:p], ' ') || '|' || array_to_string(ws[p + 1:n], ' ')),
-            list_transform(range(0, n), lambda p: p || '|' || array_to_string(ws[1:p], ' ') || '|' || array_to_string(ws[p + 2:n], ' ')))) AS pat FROM firsts),
+            list_transform(range(0, n), lambda p: p || '|' || array_to_string(ws[1:p], ' ') || '|' || array_to_string(ws[p + 2:n], ' ')))) AS pat FROM firsts WHERE n >= {line_dedup.MIN_WORDS}),
         near AS (SELECT DISTINCT spot FROM (SELECT spot, min(spot) OVER (PARTITION BY pat) AS earliest FROM pats) WHERE earliest < spot),
-        gone AS (SELECT doc_id, i, long.spot = firsts.spot AS near FROM long JOIN firsts USING (ws) WHERE long.spot > firsts.spot OR long.spot IN (SELECT spot FROM near)),
+        gone AS (SELECT doc_id, i, spots.spot = firsts.spot AS near FROM spots JOIN firsts USING (ws) WHERE spots.spot > firsts.spot OR spots.spot IN (SELECT spot FROM near)),
         sums AS (SELECT doc_id, count(*) FILTER (NOT near) AS n_exact, count(*) FILTER (near) AS n_near, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS dropped FROM gone GROUP BY 1)
         SELECT doc_id, CAST(len(own) AS BIGINT) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, len(own) - coalesce(n_exact, 0) - coalesce(n_near, 0) AS n_kept, coalesce(dropped, '') AS dropped
         FROM d LEFT JOIN sums USING (doc_id)"""

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, text_of
+from tessella.llm.common import Scratch, let, states_before, text_of
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"(?i)passw|secret|token|api_?key", 2, 12),
     Rule("access", r"AKIA[A-Z0-9]{14,}", "AKIA"),
     Rule("hex", r"[0-9a-f]{16,}", r"[0-9a-f]{16}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "-----BEGIN "),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,8}PRIVATE KEY-----", "-----BEGIN "),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_"),
     Rule("chat_token", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", r"xox[abeoprs]-"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}", "AIza"),
@@ -47,6 +47,7 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+MATCHES = "array<struct<gap:int,whole:int,kept:boolean>>"
 
 
 def rule_version(rules: tuple[Rule, ...]) -> str:
@@ -62,44 +63,57 @@ def any_gate(text: Column, rules: tuple[Rule, ...]) -> Column:
 
 def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """All spans in the text by start, then by the order of the rules; places in code points, the end exclusive."""
-    found = [F.when(text.rlike(rule.gate), _spans(text, rank, rule)).otherwise(F.array().cast(SPANS)) for rank, rule in enumerate(rules)]
-    return F.sort_array(F.flatten(F.array(*found)))
+    none = F.array().cast(MATCHES)
+    found = [F.struct(F.lit(k).alias("rank"), F.lit(r.kind).alias("kind"), F.when(text.rlike(r.gate), _matches(text, r)).otherwise(none).alias("matches")) for k, r in enumerate(rules)]
+    return F.sort_array(F.flatten(F.transform(F.array(*found), lambda r: _spans(r["matches"], r["rank"], r["kind"]))))
 
 
-def _spans(text: Column, rank: int, rule: Rule) -> Column:
-    """The matches' places: each starts after the texts between matches and the matches before it."""
+def _matches(text: Column, rule: Rule) -> Column:
+    """(gap, whole, kept) of each match: the code points since the match before, those of the match, and whether it is long enough."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    between = F.split(text, rule.pattern, -1)
-    pairs = F.arrays_zip(whole.alias("whole"), part.alias("part"), F.slice(between, 1, F.size(whole)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+    pairs = F.arrays_zip(whole.alias("whole"), part.alias("part"), F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole)).alias("gap"))
+    size = lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("whole"), (F.length(x["part"]) >= rule.least).alias("kept"))
+    return F.transform(pairs, size).cast(MATCHES)
 
-    def add(state: Column, x: Column) -> Column:
-        at = state["at"] + F.length(x["gap"])
-        end = at + F.length(x["whole"])
-        span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        kept = F.when(F.length(x["part"]) >= rule.least, F.array(span)).otherwise(F.array().cast(SPANS))
-        return F.struct(end.alias("at"), F.concat(state["spans"], kept).alias("spans"))
 
-    return F.aggregate(pairs, start, add, lambda state: state["spans"])
+def _spans(matches: Column, rank: Column, kind: Column) -> Column:
+    """The places of the matches that are long enough: each starts after the texts between matches and the matches before it."""
+
+    def placed(before: Column) -> Column:
+        span = lambda x, at: F.struct((at + x["gap"]).alias("start"), rank.alias("rank"), (at + x["gap"] + x["whole"]).alias("end"), kind.alias("kind"))
+        return F.transform(matches, lambda x, i: F.when(x["kept"], span(x, F.get(before, i))))
+
+    before = states_before(F.transform(matches, lambda x: x["gap"] + x["whole"]), F.lit(0), lambda a, b: a + b)
+    return F.array_compact(let(before, placed)).cast(SPANS)
 
 
 class BlobLedger:
-    """Scanned blobs and their findings, by version of the rules, in two Parquet tables under ``folder``."""
+    """Scanned blobs with their findings, by version of the rules: one Parquet table under ``folder``.
+
+    A blob's row says at once that it has been scanned and what was found, so an append
+    that is lost or only half visible leaves no blob with one and without the other: a
+    rerun scans what has no row. Scans that ran at the same time may both add a blob;
+    such rows are equal, and one of them counts.
+    """
+
+    SCHEMA = f"blob binary, spans {SPANS}, rule_version string"
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
-        self._schemas = {"scanned": "blob binary, rule_version string", "findings": f"blob binary, spans {SPANS}, rule_version string"}
-        self._folders = {name: f"{folder}/{name}" for name in self._schemas}
-        for name, schema in self._schemas.items():
-            spark.createDataFrame([], schema).write.mode("append").partitionBy("rule_version").parquet(self._folders[name])
-
-    def read(self, name: str, version: str) -> DataFrame:
-        rows = self.spark.read.schema(self._schemas[name]).parquet(self._folders[name])
+        self.spark, self._folder = spark, f"{folder}/blobs"
+        spark.createDataFrame([], self.SCHEMA).write.mode("append").partitionBy("rule_version").parquet(self._folder)
+
+    def read(self, version: str) -> DataFrame:
+        """(blob, spans) of the blobs scanned under that version; spans is empty if nothing was found."""
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self._folder)
         return rows.filter(F.col("rule_version") == version).drop("rule_version")
 
-    def append(self, name: str, version: str, rows: DataFrame) -> None:
-        rows.withColumn("rule_version", F.lit(version)).write.mode("append").partitionBy("rule_version").parquet(self._folders[name])
+    def findings(self, version: str) -> DataFrame:
+        """The rows with findings, each blob once."""
+        return self.read(version).filter(F.size("spans") > 0).dropDuplicates(["blob"])
+
+    def append(self, version: str, rows: DataFrame) -> None:
+        rows.select("blob", "spans", F.lit(version).alias("rule_version")).write.mode("append").partitionBy("rule_version").parquet(self._folder)
 
 
 def scan(docs: DataFrame, ledger: BlobLedger, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,7 +121,8 @@ def scan(docs: DataFrame, ledger: BlobLedger, rules: tuple[Rule, ...] = RULES, i
 
     A null text is the empty blob and has no spans. Rows that repeat an id or a text
     have the findings each. A null id is a path like any other. An empty table gives no
-    rows and appends nothing. Other columns are not read.
+    rows and appends nothing. Other columns are not read. The ledger's table is all that
+    stays of a scan but for the paths, which the result reads.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "secrets")
@@ -117,15 +132,17 @@ def scan(docs: DataFrame, ledger: BlobLedger, rules: tuple[Rule, ...] = RULES, i
     paths = scratch.table(versions.select("doc_id", blob.alias("blob")), "paths")
     # Written before the anti-join: below it, the sum per blob would take a row from every path.
     blobs = scratch.table(paths.groupBy("blob").agg(F.min("doc_id").alias("_path")), "blobs")
-    unseen = scratch.table(blobs.join(ledger.read("scanned", version), "blob", "left_anti").withColumnRenamed("blob", "_blob"), "unseen")
+    unseen = scratch.table(blobs.join(ledger.read(version).select("blob"), "blob", "left_anti").withColumnRenamed("blob", "_blob"), "unseen")
 
     # The text of one path of each unseen blob; a text that no rule's gate lets through has nothing to find and isn't moved.
     gated = versions.filter(any_gate(F.col("text"), rules)).withColumn("blob", blob)
     texts = gated.join(unseen, (F.col("blob") == F.col("_blob")) & F.col("doc_id").eqNullSafe(F.col("_path")), "left_semi")
     found = texts.select("blob", spans_of(F.col("text"), rules).alias("spans")).filter(F.size("spans") > 0)
-    ledger.append("findings", version, found.dropDuplicates(["blob"]))
-    ledger.append("scanned", version, unseen.select(F.col("_blob").alias("blob")))
-    return paths.join(ledger.read("findings", version), "blob", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    found = scratch.table(found.dropDuplicates(["blob"]), "found")
+    rows = unseen.join(found, F.col("_blob") == F.col("blob"), "left")
+    ledger.append(version, rows.select(F.col("_blob").alias("blob"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans")))
+    scratch.keep(paths)
+    return paths.join(ledger.findings(version), "blob", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:

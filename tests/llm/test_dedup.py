@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tessella.llm import exact_dedup, line_dedup, minhash
 
 A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -28,6 +30,34 @@ def test_index_persists(spark, docs_of, tmp_path):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+def test_index_keeps_its_buckets(spark, docs_of, tmp_path):
+    """An index that is opened has the buckets it was started with, whatever the session deals by."""
+    where = f"file://{tmp_path}/index"
+    rows = docs_of([(i, f"text number {i}") for i in range(40)])
+    index = exact_dedup.DigestIndex(spark, where, buckets=3)
+    assert exact_dedup.exact_groups(rows, index).filter("kept").count() == 40
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = exact_dedup.DigestIndex(spark, where)
+        more = docs_of([(100 + i, f"TEXT number {i}") for i in range(45)])
+        found = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_groups(more, again).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert again.buckets == 3 and found == {100 + i: (i, False) if i < 40 else (100 + i, True) for i in range(45)}
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, where, buckets=4)
+    named = exact_dedup.DigestIndex(spark, name="index_by_name", buckets=2)
+    named.add(exact_dedup.digests(rows))
+    assert exact_dedup.DigestIndex(spark, name="index_by_name").buckets == 2
+
+
+def test_no_table_stays(spark, docs_of):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup.op3(spark, docs_of([(1, "a"), (2, "A")])).count() == 2 and exact_dedup.keep_first(docs_of([(1, "a"), (2, "A")])).count() == 1
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_texts_without_an_id_stay_once(spark, docs_of):
     docs = docs_of([(None, "alone"), (None, "Twice"), (None, "twice"), (None, "with id"), (4, "with id"), (5, "other")])
     index = exact_dedup.DigestIndex(spark)
@@ -106,6 +136,33 @@ def test_small_sets_at_the_threshold_are_found(spark, docs_of):
     assert all(found[i + 1][1] == i for i in range(0, 600, 2))
 
 
+def test_just_under_the_threshold(spark, docs_of):
+    """A crowd of which no two are linked is compared pair by pair, but a set is sent once for each block."""
+    rng = random.Random(3)
+    texts = {}
+    for i in range(1200):
+        words = [f"x{k}" for k in range(60)]
+        for k in rng.sample(range(2, 60, 2), 4):
+            words[k] = f"r{i}_{k}"
+        texts[i] = " ".join(words)
+    texts[1200] = texts[7].replace("x59", "last")
+    found = near(spark, docs_of([*texts.items()]))
+    assert {i for i, r in found.items() if not r[2]} == {1200} and found[1200][1] == 7
+
+
+def test_forest():
+    forest = minhash.Forest()
+    assert [forest.join(a, b) for a, b in ((1, 2), (3, 4), (2, 1), (4, 1), (3, 2), (5, 5))] == [True, True, False, True, False, False]
+
+
+def test_five_words_by_default(spark, docs_of):
+    """Nine words, one replaced in the middle: pairs of words are alike enough there, five words aren't."""
+    words = [f"w{k}" for k in range(40)]
+    docs = docs_of([(1, " ".join(words)), (2, " ".join([*words[:20], "x", *words[21:]]))])
+    assert [r["component_id"] for r in minhash.near_groups(docs, width=2).orderBy("doc_id").collect()] == [1, 1]
+    assert [r["component_id"] for r in minhash.near_groups(docs).orderBy("doc_id").collect()] == [1, 2]
+
+
 def test_keep_one(spark, docs_of):
     docs = docs_of([(3, "a b c d e f"), (2, "A b c d e f"), (9, "other words here"), (None, "a b c d e f")])
     assert sorted(str(r["doc_id"]) for r in minhash.keep_one(docs).collect()) == ["2", "9", "None"]
@@ -120,15 +177,16 @@ def one_edit(a, b):
 
 
 def dropped_by_hand(texts):
+    """Equal lines of any length; lines an edit away if both have five words or more."""
     seen, found = [], {}
     for i in sorted(texts):
         gone = []
         for k, line in enumerate((texts[i] or "").split("\n")):
             words = line.lower().encode().split()
-            if len(words) < 5:
+            if not words:
                 continue
             equal = words in seen
-            if equal or any(one_edit(words, s) for s in seen):
+            if equal or (len(words) >= 5 and any(len(s) >= 5 and one_edit(words, s) for s in seen)):
                 gone.append((k, not equal))
             if not equal:
                 seen.append(words)
@@ -159,3 +217,16 @@ def test_lines_by_hand(spark, docs_of, documents, texts):
             assert (r["n_lines"], r["n_kept"]) == (n_lines, n_lines - len(gone))
     clean = {r["doc_id"]: r["text"] for r in line_dedup.clean(docs_of([(1, "a b c d e\nx"), (2, "y\na b c d f"), (3, None)])).collect()}
     assert clean == {1: "a b c d e\nx", 2: "y", 3: None}
+
+
+def test_short_repeats_go(spark, docs_of):
+    docs = docs_of([(1, "All rights reserved\nhome"), (2, "all  rights reserved\nhome\n\nall rights reversed"), (3, "Home")])
+    found = {r["doc_id"]: (r["dropped"], r["n_exact"], r["n_near"]) for r in line_dedup.op10(spark, docs).collect()}
+    assert found == {1: ("", 0, 0), 2: ("0,1", 2, 0), 3: ("0", 1, 0)}
+
+
+def test_long_lines(spark, docs_of):
+    """A line of 30000 words with one replaced: the passes over a line are linear in its words."""
+    words = [f"w{k}" for k in range(30_000)]
+    docs = docs_of([(1, " ".join(words)), (2, " ".join([*words[:20_000], "other", *words[20_001:]])), (3, " ".join(words[1:])), (4, " ".join(words[2:]))])
+    assert {r["doc_id"]: r["dropped"] for r in line_dedup.op10(spark, docs).collect()} == {1: "", 2: "0", 3: "0", 4: "0"}

@@ -34,10 +34,17 @@ def log_logistic(margin: Column, negative: bool = True) -> Column:
     return -stable if negative else stable
 
 
+#: Ten times the logarithms of the smallest and the largest double.
+EXPONENTS = 10 * math.log(2.2250738585072014e-308), 10 * math.log(1.7976931348623157e308)
+
+
 def clip_exponent(x: Column) -> Column:
-    """Limits between ten times the logarithms of the smallest and the largest double."""
-    low, high = 10 * math.log(2.2250738585072014e-308), 10 * math.log(1.7976931348623157e308)
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return F.greatest(F.lit(EXPONENTS[0]), F.least(F.lit(EXPONENTS[1]), x))
+
+
+def rescaled(x: Column, low: Column, high: Column) -> Column:
+    """``x`` from low..high to -1..1, as a square matrix of exponents is brought into bounds; null where low is high."""
+    return F.try_divide(2 * (x - low), high - low) - 1
 
 
 def softmax_over(x: Column, window) -> Column:

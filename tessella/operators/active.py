@@ -1,28 +1,36 @@
 """Splitting with scores from a model's uncertainty.
 
-One linear model per label is stepped along its gradient, the sum over instances on the
-executors; the driver holds weights, labels times features. The uncertainty of the
-models' probabilities is added to the scores of the extreme splitter.
+One linear model per label is stepped along its gradient. The driver holds weights,
+labels times features, and executors go through the instances in Arrow batches: a task
+returns one sum of labels times features, and one number for each instance, so no frame
+has a row for each instance and label. The uncertainty of the models' probabilities is
+added to the scores of the extreme splitter.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.rand import weighted_sample
-from tessella.functions.scalar import EPS, clip_exponent, log_logistic, optimal_step, sigmoid
+from tessella.functions.rand import u01, weighted_sample
+from tessella.functions.scalar import EPS, EXPONENTS, log_logistic, optimal_step
 from tessella.operators.base import label_counts
 from tessella.operators.params import Params
 from tessella.operators.split import extreme
+from tessella.plans.numbering import ranked
 from tessella.plans.scratch import Scratch
 from tessella.sources.model import MultiLabelFrame
 
+log = logging.getLogger(__name__)
+
 ACQUISITIONS = ("entropy", "psp")
 PENALTIES = ("l1", "l2", "elasticnet", "l21")
+LOSSES = ("hinge", "log")
 
 
 @dataclass(frozen=True)
@@ -32,6 +40,8 @@ class ActiveParams:
     top_k: int = 20
     calc_ads: bool = True
     ads_percent: float = 0.7
+    use_solver: bool = True
+    loss_function: str = "hinge"
     penalty: str = "elasticnet"
     alpha_elastic: float = 1e-4
     l1_ratio: float = 0.65
@@ -45,6 +55,8 @@ class ActiveParams:
             put("acquisition_type", "psp")
         if self.penalty not in PENALTIES:
             put("penalty", "elasticnet")
+        if self.loss_function not in LOSSES:
+            put("loss_function", "hinge")
         if self.subsample_labels_size <= 0:
             put("subsample_labels_size", 50)
         if not 0 < self.ads_percent <= 1:
@@ -67,19 +79,48 @@ def _models(weights: dict[int, np.ndarray]) -> Column:
     return F.array(*[F.struct(F.lit(label).alias("label_id"), F.array(*map(F.lit, map(float, w))).alias("w")) for label, w in sorted(weights.items())])
 
 
-def probabilities(rows: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
-    """(instance_id, label_id, y, p) from (instance_id, v, has): each model's probability."""
-    m = rows.withColumn("m", F.explode(_models(weights)))
-    y = F.array_contains("has", F.col("m.label_id")).cast("int")
-    return m.select("instance_id", "v", F.col("m.label_id").alias("label_id"), y.alias("y"), sigmoid(clip_exponent(_dot(F.col("v"), F.col("m.w")))).alias("p"))
-
-
-def gradient(rows: DataFrame, weights: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """Mean over instances of (p - y) v, per label."""
-    width = len(next(iter(weights.values())))
-    p = probabilities(rows, weights)
-    sums = p.groupBy("label_id").agg(F.count("*").alias("n"), *[F.sum((F.col("p") - F.col("y")) * F.get("v", F.lit(k))).alias(f"g{k}") for k in range(width)])
-    return {r["label_id"]: np.array([r[f"g{k}"] for k in range(width)]) / r["n"] for r in sums.collect()}
+def _matrix(weights: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The labels in order, and their weights as rows."""
+    return np.array(sorted(weights)), np.stack([weights[k] for k in sorted(weights)])
+
+
+def _batch(batch: pa.RecordBatch, labels: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of (instance_id, v, has): the vectors, each model's value, and whether the label is there."""
+    v, has = batch.column(1).flatten().to_numpy().reshape(-1, w.shape[1]), batch.column(2)
+    ones, owners = has.flatten().to_numpy(), np.repeat(np.arange(len(v)), has.value_lengths().to_numpy())
+    at = np.minimum(np.searchsorted(labels, ones), len(labels) - 1)
+    y = np.zeros((len(v), len(labels)))
+    y[owners[labels[at] == ones], at[labels[at] == ones]] = 1
+    return v, np.clip(v @ w.T, *EXPONENTS), y
+
+
+def gradient(rows: DataFrame, weights: dict[int, np.ndarray], loss: str = "log") -> dict[int, np.ndarray]:
+    """Mean over instances of the loss's gradient, per label: (p - y) v, or for 'hinge' -s v where s z is less than 1, s being 1 or -1."""
+    labels, w = _matrix(weights)
+    read = _batch
+
+    def run(batches):
+        sums, n = np.zeros_like(w), 0
+        for batch in batches:
+            v, z, y = read(batch, labels, w)
+            if loss == "hinge":
+                side = 2 * y - 1
+                off = np.where(side * z < 1, -side, 0.0)
+            else:
+                with np.errstate(over="ignore"):
+                    off = 1 / (1 + np.exp(-z)) - y
+            sums, n = sums + off.T @ v, n + len(v)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums.ravel()], pa.list_(pa.float64()))], names=["n", "sums"])
+
+    # One row for each task of a scan, of labels times features: they are summed place by place on the executors.
+    parts = rows.select("instance_id", "v", "has").mapInArrow(run, "n long, sums array<double>")
+    n = parts.agg(F.sum("n")).first()[0] or 0
+    places = parts.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+    total = np.zeros(w.size)
+    for r in places.collect():
+        total[r["at"]] = r["x"]
+    return dict(zip(labels.tolist(), total.reshape(w.shape) / max(n, 1), strict=True))
 
 
 def l21_gradient(m: np.ndarray) -> np.ndarray:
@@ -96,34 +137,59 @@ def penalty_gradient(w: np.ndarray, params: ActiveParams) -> np.ndarray:
 
 
 def step(rows: DataFrame, weights: dict[int, np.ndarray], epoch: int, params: ActiveParams) -> dict[int, np.ndarray]:
+    """The weights after a step, from where they were: along the chosen loss with ``use_solver``, along the logistic one without."""
     rate = 1 / (params.learning_rate * (optimal_step(params.learning_rate) + epoch))
-    moves = gradient(rows, weights)
-    return {label: w - rate * (moves[label] + penalty_gradient(w.copy(), params)) if label in moves else w for label, w in weights.items()}
+    moves = gradient(rows, weights, params.loss_function if params.use_solver else "log")
+    return {label: w - rate * (moves[label] + penalty_gradient(w.copy(), params)) for label, w in weights.items()}
+
+
+def _each(rows: DataFrame, weights: dict[int, np.ndarray], score) -> DataFrame:
+    """(instance_id, s): ``score`` of each model's probability and whether the label is there, for batches of instances."""
+    labels, w = _matrix(weights)
+    read = _batch
+
+    def run(batches):
+        for batch in batches:
+            _, z, y = read(batch, labels, w)
+            with np.errstate(over="ignore"):
+                s = score(1 / (1 + np.exp(-z)), y)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["instance_id", "s"])
 
+    return rows.select("instance_id", "v", "has").mapInArrow(run, "instance_id long, s double")
 
-def entropy(probs: DataFrame) -> DataFrame:
+
+def entropy(rows: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
     """(instance_id, uncertainty): -p ln p of the mean probability over labels."""
-    p = F.col("p")
-    return probs.groupBy("instance_id").agg(F.avg("p").alias("p")).select("instance_id", F.round(-p * F.ln(p + EPS) + EPS, 9).alias("uncertainty"))
+
+    def score(p, y):
+        mean = p.mean(axis=1)
+        return -mean * np.log(mean + EPS) + EPS
+
+    return _each(rows, weights, score).select("instance_id", F.round("s", 9).alias("uncertainty"))
 
 
-def psp(probs: DataFrame, counts: DataFrame, top_k: int) -> DataFrame:
+def psp(rows: DataFrame, weights: dict[int, np.ndarray], counts: DataFrame, top_k: int) -> DataFrame:
     """(instance_id, uncertainty): one less the scaled mean of y over propensity among the k likeliest labels.
 
     ``counts``: c(label_id, c). Scaled to 0..1 over all instances.
     """
-    best = Window.partitionBy("instance_id").orderBy(F.col("p").desc(), "label_id")
-    ranked = probs.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= top_k).join(counts, "label_id")
-    propensity = 1 / (1 + 1 / (F.col("c") + 1.0))
-    rows = ranked.groupBy("instance_id").agg(F.avg(F.col("y") / propensity).alias("s"))
-    ends = rows.agg(F.min("s").alias("lo"), F.max("s").alias("hi")).first()
+    c = {r["label_id"]: r["c"] for r in counts.filter(F.col("label_id").isin(sorted(weights))).collect()}
+    propensity = np.array([1 / (1 + 1 / (c.get(k, 0) + 1.0)) for k in sorted(weights)])
+
+    def score(p, y):
+        best = np.argsort(-p, axis=1, kind="stable")[:, :top_k]
+        return np.take_along_axis(y / propensity, best, axis=1).mean(axis=1)
+
+    found = Scratch(rows.sparkSession, "psp").table(_each(rows, weights, score), "psp")
+    ends = found.agg(F.min("s").alias("lo"), F.max("s").alias("hi")).first()
     width = float((ends["hi"] or 0) - (ends["lo"] or 0)) or 1.0
-    return rows.select("instance_id", F.round(1 - (F.col("s") - float(ends["lo"] or 0)) / width + EPS, 9).alias("uncertainty"))
+    return found.select("instance_id", F.round(1 - (F.col("s") - float(ends["lo"] or 0)) / width + EPS, 9).alias("uncertainty"))
 
 
 def ads(scores: DataFrame, n: int, percent: float) -> DataFrame:
-    """The most uncertain share of all n instances; of equals the smaller id."""
-    return scores.orderBy(F.desc("uncertainty"), "instance_id").limit(int(percent * n))
+    """The most uncertain share of all n instances; of equals the smaller id. Places are found by ranges, not in one task."""
+    placed = ranked(scores.withColumn("_less", -F.col("uncertainty")), [], ["_less", "instance_id"], "_place")
+    return placed.filter(F.col("_place") <= int(percent * n)).select(*scores.columns)
 
 
 def cost(rows: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
@@ -134,41 +200,37 @@ def cost(rows: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
     return m.select(F.col("m.label_id").alias("label_id"), loss.alias("loss")).groupBy("label_id").agg(F.avg("loss").alias("cost"))
 
 
-def solve(d: MultiLabelFrame, loss: str = "hinge", reg: float = 1e-4, l1_ratio: float = 0.65) -> dict[int, np.ndarray]:
-    """One fitted model per label instead of gradient steps: a linear support vector machine, or logistic regression for 'log'."""
-    from pyspark.ml.classification import LinearSVC, LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    v = standardized(d).withColumn("features", array_to_vector(F.slice("v", 2, len(d.feature_names()))))
-    v = Scratch(d.spark, "solve").table(v.select("instance_id", "features"), "v")
-    found = {}
-    for r in d.labels.select("label_id").collect():
-        one = d.y.filter(F.col("label_id") == r["label_id"]).select("instance_id", F.lit(1.0).alias("label"))
-        rows = v.join(one, "instance_id", "left").fillna(0.0, ["label"])
-        kind = LinearSVC(regParam=reg) if loss == "hinge" else LogisticRegression(regParam=reg, elasticNetParam=l1_ratio)
-        model = kind.fit(rows)
-        found[r["label_id"]] = np.array([model.intercept, *model.coefficients.toArray()])
-    return found
+def mean_cost(costs: DataFrame) -> DataFrame:
+    """(cost): the mean over labels, and EPS."""
+    return costs.agg((F.avg("cost") + EPS).alias("cost"))
 
 
 def active(d: MultiLabelFrame, params: Params = Params(num_epochs=5), active_params: ActiveParams = ActiveParams()) -> DataFrame:
     """split(instance_id, split): models are stepped, their uncertainty is scored, and the extreme splitter moves the uncertain first.
 
-    With ``calc_ads`` only the most uncertain share of the instances is split.
+    Each epoch draws labels anew, rare ones more often, and steps their models. With
+    ``calc_ads`` an epoch is trained on the most uncertain share of the epoch before and
+    on the same share of the others, drawn anew, and only the most uncertain share of the
+    last epoch is split.
     """
+    log.info("active split: %s, %s", params, active_params)
     d = d.labelled()
     scratch = Scratch(d.spark, "active")
     has = d.y.groupBy("instance_id").agg(F.collect_list("label_id").alias("has"))
     rows = scratch.table(standardized(d).join(has, "instance_id"), "rows")
     counts = scratch.table(label_counts(d), "counts")
-    drawn = weighted_sample(counts, "label_id", F.when(F.col("c") > 0, 1 / F.col("c")), active_params.subsample_labels_size, params.seed)
-    weights = {r["label_id"]: np.zeros(1 + len(d.feature_names())) for r in drawn.collect()}
+    n, width = d.instances.count(), 1 + len(d.feature_names())
+    weights, seen, scores = {}, rows, None
     for epoch in range(active_params.num_epochs):
-        weights = step(rows, weights, epoch, active_params)
-    probs = probabilities(rows, weights).drop("v")
-    scores = entropy(probs) if active_params.acquisition_type == "entropy" else psp(probs, counts, active_params.top_k)
-    scores = scratch.table(scores, "scores")
-    if active_params.calc_ads:
-        scores = scratch.table(ads(scores, d.instances.count(), active_params.ads_percent), "ads")
-        d = d.take(scores)
-    return extreme(d, params, scores)
+        drawn = weighted_sample(counts, "label_id", F.when(F.col("c") > 0, 1 / F.col("c")), active_params.subsample_labels_size, params.seed, f"labels{epoch}")
+        now = {r["label_id"]: weights.get(r["label_id"], np.zeros(width)) for r in drawn.collect()}
+        if not now:
+            return extreme(d, params)
+        if scores is not None:
+            more = u01(params.seed, f"ads{epoch}", F.col("instance_id")) < active_params.ads_percent
+            seen = rows.join(scores.select("instance_id", F.lit(True).alias("_in")), "instance_id", "left").filter(F.col("_in") | more).drop("_in")
+        weights |= step(seen, now, epoch, active_params)
+        if active_params.calc_ads or epoch == active_params.num_epochs - 1:
+            scores = entropy(seen, weights) if active_params.acquisition_type == "entropy" else psp(seen, weights, counts, active_params.top_k)
+            scores = scratch.table(ads(scores, n, active_params.ads_percent) if active_params.calc_ads else scores, "scores")
+    return extreme(d.take(scores) if active_params.calc_ads else d, params, scores)

@@ -47,8 +47,10 @@ def pair_counts(d: MultiLabelFrame) -> DataFrame:
 def label_pairs(d: MultiLabelFrame) -> DataFrame:
     """Every pair of labels a < b with n11, c_a, c_b. L(L-1)/2 rows, of the size of the label dimension squared."""
     c = label_counts(d)
-    ids = c.agg(F.sort_array(F.collect_list(F.struct("label_id", "c"))).alias("all"))
-    a = ids.select("all", F.posexplode("all").alias("at", "x"))
-    pairs = a.select(F.col("x.label_id").alias("a"), F.col("x.c").alias("c_a"), F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("y"))
+    # Every task has some of the first labels, and all labels, one row of the label dimension's size, to pair them with.
+    every = c.agg(F.sort_array(F.collect_list(F.struct("label_id", "c"))).alias("all")).withColumn("_k", F.lit(0))
+    parts = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
+    first = c.select(F.col("label_id").alias("a"), F.col("c").alias("c_a"), F.lit(0).alias("_k")).repartitionByRange(parts, "a")
+    pairs = first.join(F.broadcast(every), "_k").select("a", "c_a", F.explode(F.filter("all", lambda x: x["label_id"] > F.col("a"))).alias("y"))
     pairs = pairs.select("a", F.col("y.label_id").alias("b"), "c_a", F.col("y.c").alias("c_b"))
     return pairs.join(pair_counts(d), ["a", "b"], "left").withColumn("n11", F.coalesce("n11", F.lit(0)))

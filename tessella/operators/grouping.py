@@ -7,6 +7,8 @@ checked before.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from tessella.operators.split import splitter
 from tessella.plans.scratch import Scratch
 from tessella.sources.model import InvalidData, MultiLabelFrame
 
+log = logging.getLogger(__name__)
+
 #: Largest label dimension whose square is brought to the driver.
 MAX_LABELS = 5000
 
@@ -235,6 +239,7 @@ class GroupSplitter:
         return communities(d, cooccurrence(sample), p.num_communities) if self.kind == "community" else spectral_groups(d, sample, p)
 
     def fit(self, d: MultiLabelFrame, split_type: str = "extreme") -> DataFrame:
+        log.info("%s groups, then %s: %s", self.kind, split_type, self.params)
         if self.groups is None:
             self.groups = self.learn(d)
         return splitter(split_type)(reassign(d, self.groups), self.params)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,10 +12,12 @@ from pyspark.sql import functions as F
 from tessella.functions.rand import key, u01
 from tessella.operators.base import label_counts
 from tessella.operators.params import Params
-from tessella.plans.numbering import ranked
+from tessella.plans.numbering import ranked, running
 from tessella.plans.scratch import Scratch
 from tessella.sources.model import MultiLabelFrame
 
+log = logging.getLogger(__name__)
+
 
 def naive(d: MultiLabelFrame, params: Params = Params()) -> DataFrame:
     """Per label, in order of id: batches of instances; of those that no earlier label has placed, the first j are train and the next j test.
@@ -22,6 +26,7 @@ def naive(d: MultiLabelFrame, params: Params = Params()) -> DataFrame:
     beyond 2j are left out unless ``drop_excess`` is off, as are those without labels.
     Batches are cut before placed instances are taken out, so every batch stands alone.
     """
+    log.info("naive split: %s", params)
     placed = d.y.groupBy("instance_id").agg(F.min("label_id").alias("first_label"))
     at = ranked(d.y, ["label_id"], ["instance_id"], "place").join(placed, "instance_id").filter("label_id = first_label")
     rows = at.withColumn("batch", F.floor((F.col("place") - 1) / F.lit(params.batch_size)).cast("long"))
@@ -53,6 +58,7 @@ def iterative(d: MultiLabelFrame, params: Params = Params()) -> DataFrame:
     beginning with train. So a turn is a comparison with the instance's place, and only
     the wanted counts, two per label, pass between turns.
     """
+    log.info("iterative split: %s", params)
     scratch = Scratch(d.spark, "iterative")
     counts = sorted((r["c"], r["label_id"]) for r in label_counts(d).collect())
     want = {label: [float(round(c * params.split_size)), float(round(c * (1 - params.split_size)))] for c, label in counts}
@@ -97,8 +103,13 @@ def initial_sides(d: MultiLabelFrame, params: Params) -> DataFrame:
 
 def label_scores(y: DataFrame, sides: DataFrame, params: Params, average: float) -> DataFrame:
     """(label_id, train, test, label_score): how far the label's test share is from the wanted one, more at the extremes."""
+    return _score_of(y.join(sides, "instance_id"), params, average)
+
+
+def _score_of(y: DataFrame, params: Params, average: float) -> DataFrame:
+    """``label_scores`` from (label_id, is_test)."""
     t, p = 1 - params.split_size, params.split_size
-    counts = y.join(sides, "instance_id").groupBy("label_id").agg(F.sum("is_test").alias("test"), F.count("*").alias("n"))
+    counts = y.groupBy("label_id").agg(F.sum("is_test").alias("test"), F.count("*").alias("n"))
     q = F.col("test") / F.col("n")
     over = (q - t) / p + F.when(q > 0.999, average).otherwise(0.0)
     under = (q - t) / t - F.when(q < 0.001, average).otherwise(0.0)
@@ -117,22 +128,32 @@ def instance_scores(y: DataFrame, sides: DataFrame, labels: DataFrame, scores: D
     return rows.select("instance_id", "is_test", F.round(total, 9).alias("score"))
 
 
-def threshold(scored: DataFrame, params: Params, average: float, epoch: int) -> float:
+def threshold(scored: DataFrame, params: Params, average: float, epoch: int, distinct: bool = False) -> float:
     """The quantile of scores below the average beyond which an instance may move, 0 at least.
 
-    Equal scores are counted first: only distinct ones, as many as there are labelsets, meet.
+    Equal scores are counted first. Without scores of the instances' own there are as
+    many as labelsets, and they meet in one task; where each instance has its own
+    (``distinct``), the two between which the quantile lies are found by ranges.
     """
     share = 1 - params.threshold_proportion / (1 + params.decay) ** epoch
     counts = scored.filter(F.col("score") < average).groupBy("score").agg(F.count("*").alias("n"))
-    found = counts.agg(F.percentile("score", F.lit(share), F.col("n"))).first()[0]
-    return max(round(found or 0.0, 9), 0.0)
+    if not distinct:
+        return max(round(counts.agg(F.percentile("score", F.lit(share), F.col("n"))).first()[0] or 0.0, 9), 0.0)
+    placed = running(counts, [], ["score"], ("n",))
+    at = share * ((placed.agg(F.sum("n")).first()[0] or 0) - 1)
+    low, high = math.floor(at), math.ceil(at)
+    inside = lambda k: (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
+    ends = placed.agg(F.max(F.when(inside(low), F.col("score"))).alias("low"), F.max(F.when(inside(high), F.col("score"))).alias("high")).first()
+    if ends["low"] is None:
+        return 0.0
+    return max(round(ends["low"] + (at - low) * (ends["high"] - ends["low"]), 9), 0.0)
 
 
 def swapped(scored: DataFrame, params: Params, average: float, limit: float, epoch: int) -> DataFrame:
-    """(instance_id, is_test) after some of the instances with high scores have changed sides."""
+    """The rows, without their score, after some of those with high scores have changed sides."""
     u = u01(params.seed, f"swap{epoch}", F.col("instance_id"))
     chance = F.when(F.col("score") >= average, 0.25 / 1.05**epoch).when(F.col("score") > limit, params.swap_probability / (1 + params.decay) ** epoch).otherwise(-1.0)
-    return scored.select("instance_id", F.when(u <= chance, 1 - F.col("is_test")).otherwise(F.col("is_test")).alias("is_test"))
+    return scored.withColumn("is_test", F.when(u <= chance, 1 - F.col("is_test")).otherwise(F.col("is_test"))).drop("score")
 
 
 def extreme(d: MultiLabelFrame, params: Params = Params(), scores: DataFrame | None = None, keep_best: bool = False) -> DataFrame:
@@ -141,24 +162,55 @@ def extreme(d: MultiLabelFrame, params: Params = Params(), scores: DataFrame | N
     ``scores``: (instance_id, uncertainty) added to the instances' scores. ``keep_best``
     returns the epoch with the lowest sum of label deviations instead of the last.
     """
+    log.info("extreme split: %s", params)
     scratch = Scratch(d.spark, "extreme")
-    d = d.labelled()
-    y = d.y
-    average = float(y.count()) / max(d.instances.count(), 1)
-    sides, best = scratch.table(initial_sides(d, params), "sides"), None
+    # A row for each instance with its labels is all that epochs read and write: labels are summed from it, and their
+    # scores come back to it as one array of the label dimension's size, so an epoch joins nothing.
+    rows = d.y.groupBy("instance_id").agg(F.collect_list("label_id").alias("labels"), u01(params.seed, "init", F.col("instance_id")).alias("u"))
+    rows = rows.select("instance_id", "labels", (F.col("u") > params.split_size).cast("int").alias("is_test"))
+    if scores is not None:
+        rows = rows.join(scores.select("instance_id", "uncertainty"), "instance_id", "left")
+    own = F.lit(0.0) if scores is None else F.coalesce("uncertainty", F.lit(0.0))
+    rows = scratch.table(rows.withColumn("own", own).drop("uncertainty"), "rows")
+    sums = rows.agg(F.sum(F.size("labels")).alias("ones"), F.count("*").alias("n")).first()
+    average, best = float(sums["ones"] or 0) / max(sums["n"], 1), None
     for epoch in range(params.num_epochs):
-        labels = label_scores(y, sides, params, average)
-        scored = scratch.table(instance_scores(y, sides, labels, scores), "scored")
-        limit = threshold(scored, params, average, epoch)
-        sides = scratch.table(swapped(scored, params, average, limit, epoch), "sides")
+        scored = _scored(rows, params, average)
+        limit = threshold(scored, params, average, epoch, scores is not None)
+        log.info("epoch %d of %d: instances with a score above %s may move", epoch + 1, params.num_epochs, limit)
+        after = scratch.table(swapped(scored, params, average, limit, epoch), "rows")
         if keep_best:
-            off = label_scores(y, sides, params, average).agg(F.sum(F.abs("label_score"))).first()[0] or 0.0
-            best = (off, sides) if best is None or off < best[0] else best
-    found = best[1] if best else sides
+            off = float(sum(map(abs, _label_scores(after, params, average).values())))
+            if best is None or off < best[0]:
+                best = off, after
+        scratch.keep(*{id(t): t for t in (after, best[1] if best else after)}.values())
+        rows = after
+    found = best[1] if best else rows
     scratch.keep(found)
     return found.select("instance_id", F.when(F.col("is_test") == 1, "test").otherwise("train").alias("split"))
 
 
+def _label_scores(rows: DataFrame, params: Params, average: float) -> dict[int, float]:
+    """Each label's score, from (instance_id, labels, is_test). The driver sees one row for each label."""
+    y = rows.select("instance_id", F.explode("labels").alias("label_id"), "is_test")
+    return {r["label_id"]: r["label_score"] for r in _score_of(y, params, average).collect()}
+
+
+def _scored(rows: DataFrame, params: Params, average: float) -> DataFrame:
+    """``rows`` with score: the sum of its labels' scores, positive if a move to the other side would help, and its own."""
+    found = _label_scores(rows, params, average)
+    known = sorted(found)
+    # Places of labels among those that occur: ids need not be without gaps.
+    of = rows.sparkSession.createDataFrame([(known, [found[k] for k in known])], "ids array<int>, scores array<double>").withColumn("_k", F.lit(0))
+    if known == list(range(len(known))):
+        value = lambda label: F.get("scores", label)
+    else:
+        value = lambda label: F.get("scores", (F.array_position("ids", label) - 1).cast("int"))
+    total = F.aggregate(F.transform("labels", value), F.lit(0.0), lambda s, x: s + x)
+    total = F.when(F.col("is_test") == 1, 1).otherwise(-1) * total + F.col("own")
+    return rows.withColumn("_k", F.lit(0)).join(F.broadcast(of), "_k").select(*rows.columns, F.round(total, 9).alias("score"))
+
+
 #: Splitters that a grouping of labels can hand over to.
 SPLITTERS: dict[str, Callable[[MultiLabelFrame, Params], DataFrame]] = {"extreme": extreme, "iterative": iterative, "naive": naive}
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.rand import bootstrap, sample, shuffled, u01, weighted_sample
-from tessella.functions.scalar import optimal_step, softmax_over
+from tessella.functions.scalar import clip_exponent, optimal_step, rescaled, softmax_over
 from tessella.operators import active, evaluate, graph, grouping, report, split
 from tessella.operators.base import cardinalities, label_counts, row_labelsets
 from tessella.operators.params import Params
@@ -133,17 +133,17 @@ _add("desired_labels", lambda s, d: split.desired_labels(order_type(s, d), PLAIN
 _add("desired_examples", lambda s, d: split.desired_examples(order_type(s, d), PLAIN), "SELECT 'train' AS side, CAST(round_even(n * 0.8, 0) AS BIGINT) AS desired FROM n UNION ALL SELECT 'test', CAST(round_even(n * (1 - 0.8::DOUBLE), 0) AS BIGINT) FROM n")
 
 
-def _iterative_sql() -> str:
-    sql = """, ranks AS (SELECT label_id, row_number() OVER (ORDER BY c, label_id) - 1 AS turn FROM c),
-    turns AS (SELECT instance_id, min(turn) AS turn FROM y JOIN ranks USING (label_id) GROUP BY 1),
-    ks AS (SELECT instance_id, turn, row_number() OVER (PARTITION BY turn ORDER BY instance_id) AS k FROM turns),
-    w0 AS (SELECT label_id, turn, round_even(c * 0.8::DOUBLE, 0) - 0 AS tr, round_even(c * (1 - 0.8::DOUBLE), 0) AS te FROM c JOIN ranks USING (label_id))"""
-    for t in range(6):
+def _iterative_sql(order: str = "instance_id", labels: int = 6, y: str = "y", c: str = "c") -> str:
+    sql = f""", ranks AS (SELECT label_id, row_number() OVER (ORDER BY c, label_id) - 1 AS turn FROM {c}),
+    turns AS (SELECT instance_id, min(turn) AS turn FROM {y} JOIN ranks USING (label_id) GROUP BY 1),
+    ks AS (SELECT instance_id, turn, row_number() OVER (PARTITION BY turn ORDER BY {order}) AS k FROM turns),
+    w0 AS (SELECT label_id, turn, round_even(c * 0.8::DOUBLE, 0) - 0 AS tr, round_even(c * (1 - 0.8::DOUBLE), 0) AS te FROM {c} JOIN ranks USING (label_id))"""
+    for t in range(labels):
         sql += f""", d{t} AS (SELECT tr - te AS d FROM w{t} WHERE turn = {t}),
         a{t} AS (SELECT instance_id, CASE WHEN k <= abs(d) THEN d >= 0 ELSE (k - CAST(abs(d) AS BIGINT)) % 2 = 1 END AS train FROM ks, d{t} WHERE turn = {t}),
-        u{t} AS (SELECT label_id, count(*) FILTER (train) AS tr, count(*) FILTER (NOT train) AS te FROM a{t} JOIN y USING (instance_id) GROUP BY 1),
+        u{t} AS (SELECT label_id, count(*) FILTER (train) AS tr, count(*) FILTER (NOT train) AS te FROM a{t} JOIN {y} USING (instance_id) GROUP BY 1),
         w{t + 1} AS (SELECT w.label_id, w.turn, w.tr - coalesce(u.tr, 0) AS tr, w.te - coalesce(u.te, 0) AS te FROM w{t} AS w LEFT JOIN u{t} AS u USING (label_id))"""
-    every = " UNION ALL ".join(f"SELECT * FROM a{t}" for t in range(6))
+    every = " UNION ALL ".join(f"SELECT * FROM a{t}" for t in range(labels))
     return f"{sql}, iterated AS (SELECT instance_id, CASE WHEN train THEN 'train' ELSE 'test' END AS split FROM ({every}))"
 
 
@@ -221,16 +221,12 @@ def _top3_sql() -> str:
     SELECT instance_id, round(1 - (s - (SELECT min(s) FROM pr)) / (SELECT max(s) - min(s) FROM pr) + 2.220446049250313e-16, 9) AS uncertainty FROM pr"""
 
 
-def _probs(s, d):
-    return active.probabilities(_active_rows(s, d), _FIXED)
-
-
-_add("active_entropy", lambda s, d: active.entropy(_probs(s, d)), _active_sql() + " SELECT instance_id, uncertainty FROM h")
-_add("active_psp", lambda s, d: active.psp(_probs(s, d), label_counts(order_type(s, d)), 3), _active_sql() + _top3_sql())
+_add("active_entropy", lambda s, d: active.entropy(_active_rows(s, d), _FIXED), _active_sql() + " SELECT instance_id, uncertainty FROM h")
+_add("active_psp", lambda s, d: active.psp(_active_rows(s, d), _FIXED, label_counts(order_type(s, d)), 3), _active_sql() + _top3_sql())
 
 
 def _ads(s: SparkSession, d: str) -> DataFrame:
-    scores = active.entropy(_probs(s, d))
+    scores = active.entropy(_active_rows(s, d), _FIXED)
     return active.ads(scores, order_type(s, d).labelled().instances.count(), 0.7).select("instance_id")
 
 
@@ -331,9 +327,26 @@ _add(
     SELECT draw AS instance_id, label_id FROM draws JOIN p USING (position) JOIN y USING (instance_id)""",
 )
 _add("take_features", lambda s, d: (lambda m: m.labelled().x.select("instance_id", "price", "lines"))(order_type(s, d)), "SELECT instance_id, price, lines FROM x WHERE instance_id IN (SELECT instance_id FROM y)")
-_add("split_iterative_shuffled", lambda s, d: split.iterative(order_type(s, d), SHUFFLED))
-_add("split_extreme_best", lambda s, d: split.extreme(order_brand(s, d), THREE, keep_best=True))
-_add("split_remap_iterative", lambda s, d: split.iterative(grouping.reassign(order_type(s, d), _fixed_groups(s)), PLAIN))
+_add("split_iterative_shuffled", lambda s, d: split.iterative(order_type(s, d), SHUFFLED), _iterative_sql(f"md5('{SEED}|iterative|' || instance_id), instance_id") + " SELECT instance_id, split FROM iterated")
+_add(
+    "split_extreme_best",
+    lambda s, d: split.extreme(order_brand(s, d), THREE, keep_best=True),
+    _extreme_sql() + ", off AS (" + " UNION ALL ".join(f"SELECT {e} AS e, round(sum(abs(label_score)), 9) AS off FROM l{e}" for e in (1, 2, 3)) + "), best AS (SELECT arg_min(e, (off, e)) AS e FROM off) "
+    + " UNION ALL ".join(f"SELECT instance_id, CASE WHEN is_test = 1 THEN 'test' ELSE 'train' END AS split FROM s{e}, best WHERE e = {e}" for e in (1, 2, 3)),
+    "p_brand",
+)
+_add(
+    "split_remap_iterative",
+    lambda s, d: split.iterative(grouping.reassign(order_type(s, d), _fixed_groups(s)), PLAIN),
+    ", g AS (SELECT DISTINCT instance_id, label_id % 3 AS label_id FROM y), cg AS (SELECT label_id, count(*) AS c FROM g GROUP BY 1)" + _iterative_sql(labels=3, y="g", c="cg") + " SELECT instance_id, split FROM iterated",
+)
+_add("adjacency", lambda s, d: graph.normalized_laplacian(graph.cooccurrence(order_brand(s, d)), return_adj=True), _EDGES + " SELECT a, b, CAST(w AS DOUBLE) AS w FROM edges WHERE a <> b", "p_brand")
+_add("active_mean_cost", lambda s, d: active.mean_cost(active.cost(_active_rows(s, d), _FIXED)).withColumn("cost", F.round("cost", 7)), _active_sql() + ", cs AS (SELECT label_id, avg(-ln(CASE WHEN yes = 1 THEN p ELSE 1 - p END)) AS cost FROM ps GROUP BY 1) SELECT round(avg(cost) + 2.220446049250313e-16, 7) AS cost FROM cs")
+_add(
+    "exponent_bounds",
+    lambda s, d: (lambda x, e: x.select("instance_id", F.round(clip_exponent(F.col("price") - 50000), 6).alias("clipped"), F.round(rescaled(F.col("price"), F.lit(e["lo"]), F.lit(e["hi"])), 9).alias("scaled")))(order_type(s, d).x, order_type(s, d).x.agg(F.min("price").alias("lo"), F.max("price").alias("hi")).first()),
+    "SELECT instance_id, round(greatest(-7083.964185322641::DOUBLE, least(7097.827128933839::DOUBLE, price - 50000)), 6) AS clipped, round(2 * (price - min(price) OVER ()) / (max(price) OVER () - min(price) OVER ()) - 1, 9) AS scaled FROM x",
+)
 _add("community_groups", lambda s, d: (lambda m: grouping.communities(m, graph.cooccurrence(m), 3))(order_brand(s, d)))
 _add("eigen_groups", lambda s, d: (lambda m: grouping.spectral_groups(m, m, QUICK))(order_brand(s, d)))
 _add("plssvd_groups", lambda s, d: grouping.plssvd_groups(order_brand(s, d), QUICK))

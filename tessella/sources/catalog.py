@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.sources.model import MultiLabelFrame, from_long, from_single_label
+from tessella.sources.model import InvalidData, MultiLabelFrame, from_long, from_single_label, read_parquet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,20 @@ def embedding_class(spark: SparkSession, sf_dir: str) -> MultiLabelFrame:
 
 DATASETS: dict[str, Callable[[SparkSession, str], MultiLabelFrame]] = {"order_type": order_type, "order_brand": order_brand, "embedding_class": embedding_class}
 
+#: Names of public multi-label benchmark sets.
+BENCHMARKS = (
+    "bibtex", "birds", "Corel5k", "delicious", "emotions", "enron", "genbase", "mediamill", "medical", "rcv1subset1", "rcv1subset2",
+    "rcv1subset3", "rcv1subset4", "rcv1subset5", "scene", "tmc2007_500", "yeast",
+)
+
+
+def stored(spark: SparkSession, folder: str, name: str, features: bool = True) -> MultiLabelFrame:
+    """The benchmark set of that name from ``<name>_y`` and ``<name>_X`` under ``folder``, as ``write_parquet`` leaves them."""
+    if name not in BENCHMARKS:
+        raise InvalidData(f"no data set {name!r}")
+    return read_parquet(spark, f"{folder}/{name}_y", f"{folder}/{name}_X" if features else None)
+
+
 #: SQL of the frames of order_type and order_brand: labels, y, inst, x, and the counts c, k, ls of the metrics.
 def frames_sql(column: str = "p_type") -> str:
     return f"""

@@ -136,6 +136,71 @@ def test_empty_tables(spark):
     assert report.properties(one, split.naive(one)).count() == 13
 
 
+def test_stored_sets_and_reports(spark, tmp_path, caplog):
+    from tessella.sources.catalog import stored
+    from tessella.sources.model import write_parquet, write_tsv
+
+    x = spark.createDataFrame([(1, 0.5), (2, 1.5), (3, 2.5)], "instance_id long, a double")
+    d = from_array_col(spark.createDataFrame([(1, ["a", "b"]), (2, ["b"]), (3, [])], "i long, l array<string>"), "i", "l", x=x)
+    folder = f"file://{tmp_path}/sets"
+    write_parquet(d, f"{folder}/yeast_y", f"{folder}/yeast_X")
+    again = stored(spark, folder, "yeast").check()
+    assert {tuple(r) for r in again.y.collect()} == {(1, 0), (1, 1), (2, 1)} and again.instances.count() == 3 and again.feature_names() == ["a"]
+    with pytest.raises(InvalidData):
+        stored(spark, folder, "no such set")
+    with caplog.at_level("INFO", logger="tessella"):
+        sided = split.iterative(again, Params(shuffle=False))
+    assert "split_size=0.75" in caplog.text
+    write_tsv(report.properties(again, sided).orderBy("position"), f"file://{tmp_path}/report")
+    lines = next((tmp_path / "report").glob("*.csv")).read_text().splitlines()
+    assert len(lines) == 14 and lines[0].split("\t") == ["position", "property", "complete", "train", "test"]
+
+
+def test_groups_are_total_and_as_many_as_asked_for(spark):
+    """Labels 0-3 and 4-7 come together; every grouping maps each label once, into the number of groups, and parts the two."""
+    rows = {i: {(i % 4) + 4 * (i % 2), ((i // 2) % 4) + 4 * (i % 2)} for i in range(200)}
+    d = matrix(spark, rows)
+    params = Params(num_clusters=2, num_communities=2, num_subsamples=200)
+    for groups in (grouping.communities(d, graph.cooccurrence(d), 2), grouping.spectral_groups(d, d, params)):
+        found = {r["label_id"]: r["group_id"] for r in groups.collect()}
+        assert sorted(found) == sorted(r["label_id"] for r in d.labels.collect()) and len(set(found.values())) <= 2
+    laplacian = np.zeros((8, 8))
+    for r in graph.normalized_laplacian(graph.cooccurrence(d)).collect():
+        laplacian[r["a"], r["b"]] = r["w"]
+    assert np.allclose(laplacian, laplacian.T) and np.linalg.eigvalsh(laplacian).min() > -1e-9
+
+
+def test_quantile_of_many_scores(spark):
+    rng = np.random.default_rng(1)
+    scores = np.round(rng.normal(size=500), 9)
+    scored = spark.createDataFrame([(i, float(v)) for i, v in enumerate(scores)], "instance_id long, score double")
+    params = Params()
+    want = max(round(float(np.quantile(scores[scores < 2.0], 1 - 0.1)), 9), 0.0)
+    assert split.threshold(scored, params, 2.0, 0, distinct=True) == pytest.approx(want, abs=1e-8) == split.threshold(scored, params, 2.0, 0)
+
+
+def test_active_models(spark):
+    """Gradients of both losses against the formulas, and a share of the most uncertain without a sort in one task."""
+    from tessella.operators import active
+
+    rng = np.random.default_rng(2)
+    v, y = np.c_[np.ones(40), rng.normal(size=(40, 3))], rng.random((40, 3)) < 0.4
+    rows = spark.createDataFrame([(i, v[i].tolist(), [int(k) for k in np.flatnonzero(y[i])]) for i in range(40)], "instance_id long, v array<double>, has array<int>").repartition(3)
+    w = rng.normal(size=(3, 4))
+    z = v @ w.T
+    found = active.gradient(rows, dict(enumerate(w)))
+    assert np.allclose(np.stack([found[k] for k in range(3)]), (1 / (1 + np.exp(-z)) - y).T @ v / 40)
+    side = 2 * y - 1
+    found = active.gradient(rows, dict(enumerate(w)), "hinge")
+    assert np.allclose(np.stack([found[k] for k in range(3)]), np.where(side * z < 1, -side, 0).T @ v / 40)
+    scores = active.entropy(rows, dict(enumerate(w)))
+    best = active.ads(scores, 40, 0.5)
+    values = sorted(((-r["uncertainty"], r["instance_id"]) for r in scores.collect()))
+    assert {r["instance_id"] for r in best.collect()} == {i for _, i in values[:20]}
+    assert "TakeOrderedAndProject" not in best._jdf.queryExecution().executedPlan().toString()
+    assert active.ActiveParams(loss_function="none").loss_function == "hinge"
+
+
 def test_stream_keeps_sides(spark, tmp_path):
     from tessella.streaming.naive import StreamSplitter
 

@@ -14,8 +14,8 @@ from tessella.llm.common import Scratch, documents
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules reject go. Exact copies are the next stage's: here they count as one document, so that no text goes for its copies alone."""
+    return quality.keep_good(docs, copies=False)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays."""
+    """Of each group of near-duplicates, by shingles of five words, one document stays."""
     return minhash.keep_one(docs)
 
 
@@ -40,7 +40,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good), ("exact_dedup", exact), ("minhash_dedup", near), ("mixing", mixed), ("bpe", encoded)]
 
-#: Near-duplicate components and byte-pair ids are beyond SQL; tests hold run() against a brute-force version.
+#: The last stage's byte-pair ids are beyond SQL; a test holds run() against a brute-force version of all five.
 ORACLE_SQL = None
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import ship, text_of
-from tessella.llm.pieces import BYTES, CACHE, NAMES, TokenizerFile, broadcast_file, named, opened, public_path
+from tessella.llm.pieces import BYTES, CACHE, LONGEST, NAMES, TokenizerFile, broadcast_file, named, opened, public_path
 
 #: Pairs of neighbours whose test is remembered.
 PAIR_CACHE = 300_000
@@ -100,6 +100,8 @@ class Codec(dict):
         if (found := self.older.get(piece)) is None:
             ids = self.ids
             found = array("I", [ids[k] for k in self.numbers(named(piece))]).tobytes()
+        if len(piece) > LONGEST:
+            return found
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()

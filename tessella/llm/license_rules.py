@@ -106,6 +106,18 @@ curl | permission to use copy modify | permission to use copy modify and distrib
 gfdl | free documentation license | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
 proprietary | all rights reserved | confidential and proprietary (?:\S+ ){0,12}all rights reserved
 proprietary | unauthorized copying | unauthorized copying of this file via any medium is strictly prohibited
+hpnd | permission to use copy modify | permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted
+x11 | except as contained in this notice | except as contained in this notice the names? of (?:\S+ ){1,12}shall not be used in advertising
+json | software shall be used for good | the software shall be used for good not evil
+beerware | whatever you want with this stuff | you can do whatever you want with this stuff
+ijg | independent jpeg group | this software is based in part on the work of the independent jpeg group
+freetype | freetype project | portions of this software are copyright (?:\S+ ){0,4}the freetype project
+cpl-1.0 | common public license | made available under the terms of the common public license
+unicode | unicode data files | permission is hereby granted free of charge to any person obtaining a copy of the unicode data files
+w3c | w3c software notice | this work is being provided by the copyright holders under the w3c software notice and license
+cecill | governed by the cecill | this software is governed by the cecill(?: \S+)? license under french law
+eupl | licensed under the eupl | licensed under the eupl
+lppl | latex project public license | it may be distributed and or modified under the conditions of the latex project public license
 proprietary | may not be reproduced | no part of this (?:\S+ ){1,4}may be reproduced|may not be reproduced (?:\S+ ){0,10}without (?:\S+ ){0,4}written permission
 """
 
@@ -168,6 +180,15 @@ ms-rl | microsoft reciprocal | microsoft reciprocal licen[cs]e
 ms-pl | microsoft public | microsoft public licen[cs]e
 gfdl-1.2 | free documentation | (?:gnu )?free documentation licen[cs]e (?:v|version)? ?1 2
 gfdl-1.3 | free documentation | (?:gnu )?free documentation licen[cs]e (?:v|version)? ?1 3
+apsl-2.0 | apple public source | apple public source licen[cs]e (?:v|version)? ?2(?: 0)?
+cecill-2.1 | cecill | cecill (?:v|version)? ?2 1
+cpl-1.0 | common public | common public licen[cs]e (?:v|version)? ?1 0
+ecl-2.0 | educational community | educational community licen[cs]e (?:v|version)? ?2 0
+lppl-1.3c | latex project public | latex project public licen[cs]e (?:v|version)? ?1 3c
+mulanpsl-2.0 | mulan psl | mulan psl v2
+ncsa | uiuc | uiuc licen[cs]e
+upl-1.0 | universal permissive | universal permissive licen[cs]e (?:v|version)? ?1 0
+zpl-2.1 | zope public | zope public licen[cs]e (?:v|version)? ?2 1
 odc-by-1.0 | odc by | odc by 1 0
 odbl-1.0 | odbl | odbl 1 0
 """
@@ -216,18 +237,29 @@ gfdl | free documentation license | (?:gnu )?free documentation licen[cs]e
 odbl | open database license | open database licen[cs]e
 cc0 | cc0 | cc0
 cc | creative commons | creative commons(?: licen[cs]e)?
+apsl | apple public source | apple public source licen[cs]e
+cecill | cecill | cecill(?: [bc])? licen[cs]e
+ecl | educational community license | educational community licen[cs]e
+ipl | ibm public license | ibm public licen[cs]e
+lppl | latex project public | latex project public licen[cs]e
+mulanpsl | mulan permissive software | mulan permissive software licen[cs]e
+qpl | q public license | q public licen[cs]e
+sleepycat | sleepycat license | sleepycat licen[cs]e
+upl | universal permissive | universal permissive licen[cs]e
+zpl | zope public license | zope public licen[cs]e
+hpnd | historical permission notice | historical permission notice and disclaimer
 public-domain | public domain | public domain dedication
 proprietary | all rights reserved | all rights reserved
 """
 
 
-def _versions_of(label: str, short: str, words: str, versions: tuple[str, ...]) -> list[Rule]:
+def _versions_of(label: str, short: str, names: tuple[str, ...], versions: tuple[str, ...]) -> list[Rule]:
     """Rules for the numbered versions of one licence, by short name and in words, alone and with later versions."""
     found = []
     for v in versions:
         number = v.replace(".", " ").removesuffix(" 0") + ("(?: 0)?" if v.endswith(".0") else "")
-        for keyword, name in ((short, f"(?:gnu )?{short}"), (words, f"(?:gnu )?{words}")):
-            plain = f"{name} (?:v|ver|version)? ?{number}"
+        for keyword in (short, *names):
+            plain = f"(?:gnu )?{keyword.replace('license', 'licen[cs]e')} (?:v|ver|version)? ?{number}"
             found.append(Rule(f"{label}-{v}", VERSIONED, keyword, plain))
             found.append(Rule(f"{label}-{v}-only", GRANT, keyword, f"{plain} only"))
             found.append(Rule(f"{label}-{v}-or-later", GRANT, keyword, f"{plain} (?:or|and) (?:\\S+ ){{0,4}}later"))
@@ -252,9 +284,9 @@ RULES: tuple[Rule, ...] = (
     *_rules(TEXT, TEXTS),
     *_rules(GRANT, GRANTS),
     *_rules(VERSIONED, VERSIONS),
-    *_versions_of("gpl", "gpl", "general public license", ("1.0", "2.0", "3.0")),
-    *_versions_of("lgpl", "lgpl", "lesser general public license", ("2.0", "2.1", "3.0")),
-    *_versions_of("agpl", "agpl", "affero general public license", ("1.0", "3.0")),
+    *_versions_of("gpl", "gpl", ("general public license",), ("1.0", "2.0", "3.0")),
+    *_versions_of("lgpl", "lgpl", ("lesser general public license", "library general public license"), ("2.0", "2.1", "3.0")),
+    *_versions_of("agpl", "agpl", ("affero general public license",), ("1.0", "3.0")),
     *_commons(),
     *_rules(NAME, NAMES),
 )
@@ -264,6 +296,7 @@ STEMS = (
     "licen", "gpl", "apache", "bsd", "mozilla", "commons", "cc by", "cc0", "public", "permission", "redistribution", "reserved", "this file", "as is basis",
     "received", "either version", "software", "advertising", "anyone", "do what", "altered source", "accompanying", "waiving", "unauthorized",
     "reproduced", "psf hereby", "of the mpl", "open font", "microsoft", "free documentation", "wtfpl", "odc by", "odbl", "zlib", "endorse", "artistic", "copyright", "distribution", "academic", "openssl", "business",
+    "except as contained", "good", "whatever", "jpeg", "freetype", "unicode", "cecill", "eupl", "latex project", "mulan", "uiuc", "zope", "universal permissive", "educational community", "historical permission",
 )
 if lost := [r.gate for r in RULES if not any(stem in r.gate for stem in STEMS)]:
     raise ValueError(f"gates without a stem: {lost}")

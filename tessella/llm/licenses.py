@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import lower_ascii, text_of
+from tessella.llm.common import let, lower_ascii, states_before, text_of
 from tessella.llm.license_rules import RULES, SCORES, STEMS, Rule
 
 #: Anything that isn't part of a word, after lower-casing A to Z.
@@ -41,15 +41,15 @@ def _matches(norm: Column, rule: Column) -> Column:
     pattern = F.concat(F.lit(" (?:"), rule["pattern"], F.lit(")(?= )"))
     whole = F.regexp_extract_all(norm, pattern, F.lit(0))
     pairs = F.arrays_zip(whole.alias("whole"), F.slice(F.split(norm, pattern, -1), 1, F.size(whole)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(DETECTIONS).alias("found"))
+    sizes = F.transform(pairs, lambda x: F.struct(_blanks(x["gap"]).alias("gap"), _blanks(x["whole"]).alias("whole")))
 
-    def add(state: Column, x: Column) -> Column:
-        at = state["at"] + _blanks(x["gap"])
-        end = at + _blanks(x["whole"])
-        one = F.struct(at.alias("start"), (-end).alias("neg_end"), (-rule["priority"]).alias("neg_priority"), rule["rank"].alias("rank"), rule["label"].alias("label"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
+    def placed(sizes: Column, before: Column) -> Column:
+        end = lambda x, at: at + x["gap"] + x["whole"]
+        one = lambda x, at: F.struct((at + x["gap"]).alias("start"), (-end(x, at)).alias("neg_end"), (-rule["priority"]).alias("neg_priority"), rule["rank"].alias("rank"), rule["label"].alias("label"))
+        return F.transform(sizes, lambda x, i: one(x, F.get(before, i)))
 
-    return F.aggregate(pairs, start, add, lambda state: state["found"])
+    before = lambda sizes: states_before(F.transform(sizes, lambda x: x["gap"] + x["whole"]), F.lit(0), lambda a, b: a + b)
+    return let(sizes, lambda s: let(before(s), lambda b: placed(s, b))).cast(DETECTIONS)
 
 
 def detections(norm: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -62,16 +62,11 @@ def detections(norm: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     tried = F.flatten(F.transform(F.filter(table, lambda t: F.contains(norm, t["gate"])), lambda t: t["rules"]))
     found = F.sort_array(F.flatten(F.transform(tried, lambda r: _matches(norm, r))))
     levels = len(SCORES)
-    start = F.struct(F.array(*[F.lit(-1)] * levels).alias("ends"), F.array().cast(DETECTIONS).alias("kept"))
-
-    def add(state: Column, x: Column) -> Column:
-        end, level = -x["neg_end"], -x["neg_priority"]
-        covered = F.exists(F.slice(state["ends"], level + 1, levels), lambda e: e >= end)
-        ends = F.transform(state["ends"], lambda e, k: F.when(k == level, F.greatest(e, end)).otherwise(e))
-        kept = F.when(covered, state["kept"]).otherwise(F.concat(state["kept"], F.array(x)))
-        return F.struct(ends.alias("ends"), kept.alias("kept"))
-
-    return F.aggregate(found, start, add, lambda state: state["kept"])
+    ends = lambda x: F.array(*[F.when(-x["neg_priority"] == k, -x["neg_end"]).otherwise(-1) for k in range(levels)])
+    larger = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))
+    covered = lambda x, before: F.exists(F.slice(before, 1 - x["neg_priority"], levels), lambda e: e >= -x["neg_end"])
+    before = lambda found: states_before(F.transform(found, ends), F.array(*[F.lit(-1)] * levels), larger)
+    return let(found, lambda f: let(before(f), lambda b: F.filter(f, lambda x, i: ~covered(x, F.get(b, i)))))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stems: tuple[str, ...] = STEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

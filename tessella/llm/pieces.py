@@ -43,8 +43,9 @@ _SPLIT = {
     "word": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_WHITE}{_LETTERS}{_DIGITS}]+"),
 }
 
-#: Pieces remembered by a Python worker, besides as many that were met before.
-CACHE = 250_000
+#: Pieces remembered by a Python worker, besides as many that were met before, and their longest length in code
+#: points: longer ones seldom come again, and a blob without a blank is a piece of its own length.
+CACHE, LONGEST = 250_000, 64
 
 
 def byte_names() -> list[str]:

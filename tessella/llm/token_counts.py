@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import ship, text_of
-from tessella.llm.pieces import CACHE, TokenizerFile, broadcast_file, named, opened, public_path
+from tessella.llm.pieces import CACHE, LONGEST, TokenizerFile, broadcast_file, named, opened, public_path
 
 #: A document with more tokens is over the limit.
 LIMIT = 2048
@@ -34,6 +34,8 @@ class Counter(dict):
             symbols = list(named(piece))
             symbols[-1] += self.file.suffix
             found = count_merged(symbols, self.ranks)
+        if len(piece) > LONGEST:
+            return found
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Scratch, partitions, ship, text_of
-from tessella.llm.pieces import NAMES, TokenizerFile, broadcast_file, opened, public_path
+from tessella.llm.pieces import LONGEST, NAMES, TokenizerFile, broadcast_file, opened, public_path
 
 #: Id 0 ends each document.
 END = 0
@@ -88,7 +88,7 @@ class LibraryIds:
             made = np.empty(len(fresh), object)
             made[:] = self._words(fresh)
             found[new] = made
-            self.known.update(zip(sought, found[gaps].tolist(), strict=True))
+            self.known.update((w, v) for w, v in zip(sought, found[gaps].tolist(), strict=True) if len(w) <= LONGEST)
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

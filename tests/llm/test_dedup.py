@@ -72,8 +72,8 @@ def shingles(text, width=2):
     return frozenset(tuple(words[i : i + width]) for i in range(max(len(words) - width + 1, min(len(words), 1))))
 
 
-def components(texts):
-    sets = {i: shingles(t) for i, t in texts.items()}
+def components(texts, width=2):
+    sets = {i: shingles(t, width) for i, t in texts.items()}
     root = {i: i for i in sets}
 
     def find(i):

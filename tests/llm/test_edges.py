@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, no rows, and columns with the operators' own names."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,11 +17,15 @@ LONG = "password = abcdefghijklmnop mit license one two three four five six " *
 CLASHES = ("id", "_id", "words", "line", "key", "root", "cid", "size", "digest", "keep_id", "gone", "copies", "copy", "blob", "spans", "shard", "ids", "place", "bands", "norm", "target", "kept")
 
 
+SAME = "the same words in a row again and again"
+GOOD = " ".join(f"word{k}" for k in range(30))
+
+
 @pytest.fixture(scope="module")
 def odd(docs_of):
     rows = [(None, None, None), (None, "some words of no id here", "a"), (1, None, None), (2, "", "a"), (3, " \t\n\x0b\r ", "a"), (4, LONG, "b"), (5, "x" * 200_000, "b")]
     rows += [(6, "the same words in a row again and again", "a")] * 3 + [(7, "the same words in a row again and again", None), (8, "THE SAME words in a row again and again", "b"), (8, "another text of one id", "b")]
-    rows += [(9, "�\u0000 \U0001f600 é  <|endoftext|> İ", "é"), (10, "single", "a"), (-5, "negative id and some words", "a")]
+    rows += [(9, "�\u0000 \U0001f600 é  <|endoftext|> İ", "é"), (10, "single", "a"), (-5, "negative id and some words", "a"), (11, GOOD, "a"), (None, f"{GOOD} too", "a")]
     found = docs_of(rows)
     return found.select("*", *[F.lit("clash").alias(c) for c in CLASHES])
 
@@ -40,7 +46,19 @@ def test_no_rows(spark, odd, name):
 def test_filters_keep_columns(spark, odd, name):
     found = FILTERS[name](odd)
     assert found.columns == odd.columns and found.dtypes == odd.dtypes
-    assert found.count() > 0
+    rows = Counter((r["doc_id"], (r["text"] or "")[:40]) for r in found.collect())
+    every = Counter((r["doc_id"], (r["text"] or "")[:40]) for r in odd.collect())
+    if name == "exact":  # of the empty texts the largest id's, of the same words too, and all that stand alone, with an id or without
+        gone = {(None, ""): 1, (1, ""): 1, (6, SAME[:40]): 3, (7, SAME[:40]): 1}
+        assert rows == every - Counter(gone)
+    elif name == "near":  # 7 has the words of 6, and so has 8, whose other text goes with it; without an id or words a row stays
+        assert rows == every - Counter({k: n for k, n in every.items() if k[0] in (7, 8)})
+    elif name == "quality":  # all but two have too few words or repeat them
+        assert rows == Counter({(11, GOOD[:40]): 1, (None, GOOD[:40]): 1})
+    elif name == "mix":
+        assert rows and rows.keys() <= every.keys() and all(n <= 3 * every[k] for k, n in rows.items())
+    else:  # 7 and 8 lose the line that 6 has; 6 stands three times in the same place
+        assert rows == every - Counter({(7, SAME[:40]): 1, (8, SAME[:40].replace("the same", "THE SAME")): 1}) + Counter({(7, ""): 1, (8, ""): 1})
     assert FILTERS[name](odd.filter("doc_id = 77")).count() == 0
 
 

@@ -3,13 +3,15 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from oracle import rows_of, rows_of_sql
 from test_dedup import A_TO_Z, components
-from test_rules import marks_by_hand, targets_by_hand
+from test_rules import copies_by_hand, marks_by_hand, removed_by_hand
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessella.llm import queries
+from tessella.llm import pieces, quality, queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -18,23 +20,25 @@ def test_same_rows_as_sql(spark, duck, sf, name):
 
 
 def test_pipeline_by_hand(spark, sf, documents):
+    """Exactly the documents that the five stages leave, as often as they do, and the library's ids of each."""
     rows = {r["doc_id"]: r for r in documents.collect()}
-    kept = {i for i, r in rows.items() if (m := marks_by_hand(r["text"]))[0] >= 10 and 100 * m[4] <= 20 * m[0]}
+    of = {i: r["text"] or "" for i, r in rows.items()}
+    gone, kept = removed_by_hand(of, {i: r["source"] for i, r in rows.items()}, quality.LINE_DOCS, copies=False), set()
+    for i, t in of.items():
+        m = marks_by_hand(t)
+        left = m[0] - gone.get(i, 0)
+        if m[0] >= 10 and 100 * m[4] <= 20 * m[0] and not (gone.get(i) and (left < 10 or 100 * left < 20 * m[0])):
+            kept.add(i)
     last = {}
     for i in kept:
-        k = rows[i]["text"].translate(A_TO_Z)
+        k = of[i].translate(A_TO_Z)
         last[k] = max(i, last.get(k, i))
-    root, _ = components({i: rows[i]["text"] for i in last.values()})
+    root, _ = components({i: of[i] for i in last.values()}, width=5)
     stay = {i for i, r in root.items() if i == r}
+    want = copies_by_hand({i: (rows[i]["source"], len(of[i].encode().split())) for i in stay})
     found = corpus_pipeline.run(spark, sf).collect()
-    assert {r["doc_id"] for r in found} <= stay
-    sizes, taken = Counter(), Counter()
-    for i in stay:
-        sizes[rows[i]["source"]] += len(rows[i]["text"].encode().split())
+    assert Counter(r["doc_id"] for r in found) == Counter({i: n for i, n in want.items() if n})
+    library = Tokenizer.from_file(pieces.public_path("byte_bpe_50k.json"))
     for r in found:
-        taken[rows[r["doc_id"]]["source"]] += len(rows[r["doc_id"]]["text"].encode().split())
-        assert r["decoded_sha256"] == hashlib.sha256(rows[r["doc_id"]]["text"].encode()).hexdigest()
-    want = targets_by_hand(sizes)
-    for s, n in want.items():
-        top = max(len(rows[i]["text"].encode().split()) for i in stay if rows[i]["source"] == s)
-        assert abs(taken[s] - n) <= max(0.03 * n, 0.5 * top)
+        ids = np.array(library.encode(of[r["doc_id"]], add_special_tokens=False).ids, "<u4")
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(of[r["doc_id"]].encode()).hexdigest())

@@ -48,8 +48,17 @@ def test_licences_by_hand(spark, documents, docs_of, texts):
         assert r["score"] == max([SCORES[d[2]] for d in kept] + [0.5 if base else 0.0])
 
 
-def test_licence_rules_are_many_and_reachable():
+LABELLED = {
+    1: "GNU Library General Public License version 2 or later", 2: "the GNU Lesser General Public Licence v2.1 only", 3: "no part of this book may be reproduced",
+    4: "MIT Licence", 5: "Licensed under the Zope Public Licence, version 2.1", 6: "The Software shall be used for Good, not Evil.",
+}
+WANTED = {1: "lgpl-2.0-or-later", 2: "lgpl-2.1-only", 3: "proprietary", 4: "mit", 5: "zpl-2.1", 6: "json"}
+
+
+def test_licence_rules_are_many_and_reachable(spark, docs_of):
     assert len(RULES) >= 200
+    found = {r["doc_id"]: r["labels"] for r in licenses.op1(spark, docs_of([*LABELLED.items()])).collect()}
+    assert found == {i: WANTED[i] for i in LABELLED}
     hits = " gnu general public license version 3 or any later version "
     assert any(r.label == "gpl-3.0-or-later" and re.search(f" (?:{r.pattern})(?= )", hits) for r in RULES)
 
@@ -164,11 +173,11 @@ def seconds(action):
 @pytest.mark.parametrize("name", ["licenses", "quality", "secrets", "lines"])
 def test_long_texts_take_time_in_proportion(spark, docs_of, name):
     """Sixteen times the text takes less than a hundred times the time, which it would exceed if time went by the square."""
-    unit = {"licenses": "mit license and apache license ", "quality": "a b c d e f g ", "secrets": "password=abcdefghijklmn ", "lines": "a b c\n"}[name]
+    unit = {"licenses": "mit license and more words ", "quality": "a b c d e f g ", "secrets": "password=abcdefghijklmn ", "lines": "a b c\n"}[name]
     run = {"licenses": licenses.scan, "quality": quality.marks, "secrets": lambda d: d.select(secrets.spans_of(d["text"])), "lines": quality.host_lines}[name]
     action = lambda n: lambda: run(docs_of([(1, unit * n)])).write.format("noop").mode("overwrite").save()
     action(100)()
-    short, long = seconds(action(8_000)), seconds(action(128_000))
+    short, long = seconds(action(4_000)), seconds(action(64_000))
     assert long < 100 * max(short, 0.3), (short, long)
 
 
@@ -278,6 +287,47 @@ def targets_by_hand(sizes):
         open_ -= above
 
 
+def copies_by_hand(rows):
+    """How often the mix takes each document of {id: (source, size)}."""
+    sizes = Counter()
+    for source, n in rows.values():
+        sizes[source] += n
+    goal, found = targets_by_hand(sizes), {}
+    for source, total in sizes.items():
+        mine = {i: n for i, (s, n) in rows.items() if s == source}
+        whole = math.floor(goal[source] / total) if total else 0
+        left = goal[source] - whole * total
+        by_class = Counter()
+        for n in mine.values():
+            by_class[n.bit_length()] += n
+        x = {c: 2.0 ** (mixing.POWER * (c - 1)) for c in by_class}
+        scale = 1.0
+        for top in sorted(by_class, reverse=True):
+            c = (left - sum(n for k, n in by_class.items() if k > top)) / sum(x[k] * n for k, n in by_class.items() if k <= top)
+            if c * x[top] <= 1:
+                scale = c
+                break
+        ranked = []
+        for i, n in mine.items():
+            p = max(0.0, min(1.0, scale * x[n.bit_length()]))
+            u = (int(hashlib.md5(f"{mixing.SEED}|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            if n and p > 0:
+                ranked.append((0.0 if p >= 1 else u / (1 - u) / (p / (1 - p)), i))
+        found |= dict.fromkeys(mine, whole)
+        upto, untaken = 0, []
+        for q, i in sorted(ranked):
+            upto += mine[i]
+            if upto <= left:
+                found[i] += 1
+            else:
+                untaken.append((q, i))
+        gap = left - sum(mine[i] for _, i in ranked if found[i] > whole)
+        near = sorted((abs(mine[i] - gap), q, i) for q, i in untaken if abs(mine[i] - gap) < gap)
+        if near:
+            found[near[0][2]] += 1
+    return found
+
+
 def test_mix_by_hand(spark, documents, docs_of):
     small = [(8000 + i, "word " * (i % 7 + 1), ["a", "zz", None, "É"][i % 4] if i > 9 else "a") for i in range(60)]
     for docs in (documents, docs_of(small), docs_of([(1, "x y", "a"), (2, "z " * 1000, "b"), (3, None, "c")])):
@@ -295,6 +345,8 @@ def test_mix_by_hand(spark, documents, docs_of):
             largest[source[i]] = max(largest[source[i]], r["size"])
         for s in sizes:
             assert abs(taken[s] - want[s]) <= max(0.03 * want[s], 0.5 * largest[s]), s
+        by_hand = copies_by_hand({i: (source[i], rows[i]["size"]) for i in rows})
+        assert {i: r["taken"] for i, r in rows.items()} == {i: n * rows[i]["size"] for i, n in by_hand.items()}
     again = {r["doc_id"]: r["taken"] for r in mixing.op8(spark, documents.repartition(3)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in mixing.op8(spark, documents).collect()}
 

@@ -76,6 +76,16 @@ def test_queries(spark, documents, texts, library):
         at += len(ended)
 
 
+def test_long_pieces_are_not_remembered(library):
+    counter, codec, words = token_counts.Counter(_source("word_bpe_49k.json")), bpe.Codec(_source("byte_bpe_50k.json")), token_store.LibraryIds(_source("byte_bpe_50k.json"))
+    blob = "ab" * 500
+    for _ in range(2):
+        assert counter.count(f"one {blob}") == len(library["word_bpe_49k.json"].encode(f"one {blob}", add_special_tokens=False).ids)
+        want = library["byte_bpe_50k.json"].encode(f"one {blob} x", add_special_tokens=False).ids
+        assert np.frombuffer(codec.encode(f"one {blob} x"), "<u4").tolist() == want and words.encode(pa.array([f"one {blob} x"]))[0].tolist() == want
+    assert all(max(map(len, memory)) <= pieces.LONGEST for memory in (counter, codec, words.known))
+
+
 def test_encode_and_decode_frames(spark, docs_of):
     docs = docs_of([(1, "one two"), (2, None), (3, "<|endoftext|>é")])
     path = pieces.public_path("byte_bpe_50k.json")
@@ -88,3 +98,36 @@ def test_store_skips_by_document(spark, documents, tmp_path):
     rows = token_store.write_tokens(documents, pieces.public_path("byte_bpe_50k.json"), folder, shards=3)
     assert rows.filter("doc_id = 7").count() == 1
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in rows.filter("doc_id = 7")._jdf.queryExecution().toString()
+
+
+def test_store_has_stripes_an_index_and_bloom_filters(spark, docs_of, tmp_path, monkeypatch):
+    """What the files say of themselves: several stripes, Bloom filters on doc_id alone, and row groups that a reader skips."""
+    monkeypatch.setattr(token_store, "STRIPE_BYTES", 200_000)
+    rng = random.Random(1)
+    docs = docs_of([(10**10 + 2 * i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(120))) for i in range(12_000)])
+    token_store.write_tokens(docs, pieces.public_path("byte_bpe_50k.json"), f"file://{tmp_path}/ids", shards=1).count()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    orc = jvm.org.apache.orc
+    path = next(p for p in (tmp_path / "ids").glob("part-*"))
+    reader = orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{path}"), orc.OrcFile.readerOptions(conf))
+    stripes = reader.getStripes()
+    assert stripes.size() > 1 and reader.getRowIndexStride() == token_store.INDEX_STRIDE and reader.getNumberOfRows() == 12_000
+    rows = reader.rows()
+    for k in range(stripes.size()):
+        streams = rows.readStripeFooter(stripes.get(k)).getStreamsList()
+        assert {s.getColumn() for s in streams if str(s.getKind()).startswith("BLOOM_FILTER")} == {1}
+        assert {s.getColumn() for s in streams if str(s.getKind()) == "ROW_INDEX"} >= {1, 5}
+
+    def read(doc_id):
+        """How many rows a reader that looks for one id is left with."""
+        kinds = jvm.org.apache.hadoop.hive.ql.io.sarg
+        leaf = getattr(kinds, "PredicateLeaf$Type").LONG
+        sought = kinds.SearchArgumentFactory.newBuilder().startAnd().equals("doc_id", leaf, doc_id).end().build()
+        options = reader.options().searchArgument(sought, spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+        found, batch, n = reader.rows(options), reader.getSchema().createRowBatch(), 0
+        while found.nextBatch(batch):
+            n += batch.size
+        return n
+
+    # Ids beyond 2**31, so that they reach the reader as longs.
+    assert 1 <= read(10**10 + 7_000) <= token_store.INDEX_STRIDE and read(10**10 + 7_001) == 0

@@ -122,7 +122,7 @@ def scan(docs: DataFrame, ledger: BlobLedger, rules: tuple[Rule, ...] = RULES, i
     A null text is the empty blob and has no spans. Rows that repeat an id or a text
     have the findings each. A null id is a path like any other. An empty table gives no
     rows and appends nothing. Other columns are not read. The ledger's table is all that
-    stays of a scan but for the paths, which the result reads.
+    stays of a scan but for what the result reads, the paths and their findings.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "secrets")
@@ -141,8 +141,10 @@ def scan(docs: DataFrame, ledger: BlobLedger, rules: tuple[Rule, ...] = RULES, i
     found = scratch.table(found.dropDuplicates(["blob"]), "found")
     rows = unseen.join(found, F.col("_blob") == F.col("blob"), "left")
     ledger.append(version, rows.select(F.col("_blob").alias("blob"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans")))
-    scratch.keep(paths)
-    return paths.join(ledger.findings(version), "blob", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    # Written: a join on its own can be dealt anew where many paths have one blob, and these are the batch's findings only.
+    known = scratch.table(ledger.findings(version).join(blobs.select("blob"), "blob", "left_semi"), "known")
+    scratch.keep(paths, known)
+    return paths.join(known, "blob", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:

@@ -126,7 +126,7 @@ def test_store_has_stripes_an_index_and_bloom_filters(spark, docs_of, tmp_path,
         options = reader.options().searchArgument(sought, spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
         found, batch, n = reader.rows(options), reader.getSchema().createRowBatch(), 0
         while found.nextBatch(batch):
-            n += batch.size
+            n += batch.count()
         return n
 
     # Ids beyond 2**31, so that they reach the reader as longs.

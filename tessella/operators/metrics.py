@@ -252,8 +252,12 @@ def scumble(d):
 
 def corrected_scumble(d):
     """Mean over labelled instances of one minus the geometric over the arithmetic mean of their labels' imbalance ratios."""
-    rows = d.y.join(_inter(d), "label_id").groupBy("instance_id").agg(F.exp(F.avg(F.ln("ir"))).alias("geometric"), F.avg("ir").alias("mean"))
-    return rows.agg(_real(F.avg(1 - F.try_divide("geometric", "mean"))))
+    # Equal sets have equal ratios: sets are counted first, so that a label of most instances doesn't bring them to one task.
+    sets = d.y.groupBy("instance_id").agg(F.sort_array(F.collect_list("label_id")).alias("labelset")).groupBy("labelset").agg(F.count("*").alias("cnt"))
+    one = sets.select("labelset", "cnt", F.explode("labelset").alias("label_id")).join(F.broadcast(_inter(d)), "label_id")
+    rows = one.groupBy("labelset", "cnt").agg(F.exp(F.avg(F.ln("ir"))).alias("geometric"), F.avg("ir").alias("mean"))
+    off = 1 - F.try_divide("geometric", "mean")
+    return rows.agg(_real(F.try_divide(F.sum(off * F.col("cnt")), F.sum(F.when(off.isNotNull(), F.col("cnt"))))))
 
 
 def proportion_distinct_labelsets(d):

@@ -21,3 +21,17 @@ def test_cosine_pairs_multiplies_blocks(spark):
     assert sorted((r["a"], r["b"], round(r["w"], 9) + 0.0) for r in found.collect()) == want
     # Vectors aren't joined pair by pair, and no pair of blocks is formed twice.
     assert "Join" not in plan(found)
+
+
+def test_scumble_brings_no_label_to_one_task(spark, sf):
+    from tessella.operators.metrics import corrected_scumble
+    from tessella.sources.catalog import order_type
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan(corrected_scumble(order_type(spark, sf)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    # Instances would be dealt by their label for such a join.
+    assert not [line for line in found.splitlines() if "SortMergeJoin [label_id" in line and "Inner" in line]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +13,9 @@ from tessella.operators.base import label_counts, pair_counts
 from tessella.plans.scratch import Scratch
 from tessella.sources.model import MultiLabelFrame
 
+#: Instances that a task of ``propagate`` holds, and those that it takes at a time; what it holds of labels is dense for the latter only.
+BLOCK_ROWS, STRIP = 100_000, 128
+
 
 def cooccurrence(d: MultiLabelFrame) -> DataFrame:
     """edges(a, b, w): instances with both labels, in both directions and on the diagonal."""
@@ -52,11 +54,11 @@ def upper_triangle(edges: DataFrame) -> DataFrame:
     return edges.filter("a <= b")
 
 
-def unit_rows(x: DataFrame, names: list[str]) -> DataFrame:
-    """(instance_id, u): rows scaled to length 1; a row of zeros stays."""
+def unit_rows(x: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """(instance_id, u), and columns ``more``: rows scaled to length 1; a row of zeros stays."""
     v = F.array(*[F.col(c).cast("double") for c in names])
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e))
-    return x.select("instance_id", F.transform(v, lambda e: F.coalesce(F.try_divide(e, norm), F.lit(0.0))).alias("u"))
+    return x.select("instance_id", F.transform(v, lambda e: F.coalesce(F.try_divide(e, norm), F.lit(0.0))).alias("u"), *more)
 
 
 def cosine_pairs(x: DataFrame, names: list[str], blocks: int = 16, rows: int = 4096) -> DataFrame:
@@ -100,48 +102,63 @@ def propagate(d: MultiLabelFrame, alpha: float = 0.2, epochs: int = 3) -> DataFr
     Each epoch sets D to ``alpha P D + (1 - alpha) y``, where P is the upper triangle of
     the similarity without its diagonal, normalised by degrees; rows whose degree isn't
     positive get nothing. P is never made: its row times D is the row's unit vector times
-    the sum, over later instances, of unit vectors times D. Such sums are a few numbers per
-    block of instances, so an epoch is one pass, linear in the instances. Instances
-    without a feature or label value carry zeros.
+    the sum, over later instances, of unit vectors times D. Going from the last instance
+    to the first, an instance needs one such sum for each epoch, so one sweep does all
+    epochs. A block of instances changes the sums that come to it by a linear map, which
+    a first sweep finds for all blocks at once; a second one starts each block with its
+    sums. So the work is two passes, however many epochs, and linear in the instances.
+    Instances without a feature or label value carry zeros.
     """
+    d = d.hold()
     names, labels = d.feature_names(), [r["label_id"] for r in d.labels.select("label_id").orderBy("label_id").collect()]
     scratch = Scratch(d.spark, "propagate")
-    parts = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
-    own = d.y.groupBy("instance_id").agg(F.collect_list("label_id").alias("has"))
-    marks = F.array(*[F.coalesce(F.array_contains("has", i).cast("double"), F.lit(0.0)) for i in labels])
-    rows = unit_rows(d.x, names).join(own, "instance_id", "left").select("instance_id", "u", marks.alias("y"))
-    total = [F.sum(F.get("u", F.lit(k))) for k in range(len(names))]
-    sums = [float(v or 0.0) for v in rows.agg(*total).first()]
-    square = F.aggregate("u", F.lit(0.0), lambda s, e: s + e * e)
-    dot = F.aggregate(F.zip_with("u", F.array(*map(F.lit, sums)), lambda s, e: s * e), F.lit(0.0), lambda s, e: s + e)
-    rows = rows.withColumn("degree", dot - square)
-    scale = F.when(F.col("degree") > 0, 1 / F.sqrt(F.when(F.col("degree") > 0, F.col("degree")))).otherwise(0.0)
-    rows = rows.select("instance_id", F.transform("u", lambda e: e * scale).alias("v"), "y", F.col("y").alias("d"))
-    rows = rows.repartitionByRange(parts, "instance_id").withColumn("block", F.spark_partition_id())
+    width, many, known = len(names), len(labels), np.array(labels, dtype=np.int64)
+    rows = d.held.filter("described").select("instance_id", "has", *[F.col(f"x_{c}").alias(c) for c in names])
+    parts = max(int(d.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BLOCK_ROWS))
+    rows = unit_rows(rows, names, "has").repartitionByRange(parts, "instance_id").withColumn("block", F.spark_partition_id())
     rows = scratch.table(rows, "rows")
-
-    def block_sum(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v, dd = np.stack(pdf["v"].to_numpy()), np.stack(pdf["d"].to_numpy())
-        return pd.DataFrame({"block": [key[0]], "s": [(v.T @ dd).ravel()]})
-
-    def step(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("instance_id")
-        v, y, dd = (np.stack(pdf[c].to_numpy()) for c in ("v", "y", "d"))
-        rest, new = after[key[0]].copy(), np.empty_like(dd)
-        for lo in range((len(pdf) - 1) // 256 * 256, -1, -256):
-            vs, ds = v[lo : lo + 256], dd[lo : lo + 256]
-            within = np.triu(vs @ vs.T, 1) @ ds
-            new[lo : lo + 256] = alpha * (vs @ rest + within) + (1 - alpha) * y[lo : lo + 256]
-            rest += vs.T @ ds
-        return pdf.assign(d=list(new))
-
-    for _ in range(epochs):
-        of_blocks = {r["block"]: np.array(r["s"]).reshape(len(names), len(labels)) for r in rows.groupBy("block").applyInPandas(block_sum, "block int, s array<double>").collect()}
-        after, rest = {}, np.zeros((len(names), len(labels)))
-        for block in sorted(of_blocks, reverse=True):
-            after[block] = rest.copy()
-            rest = rest + of_blocks[block]
-        rows = scratch.table(rows.groupBy("block").applyInPandas(step, rows.schema), "rows")
-    scratch.keep(rows)
+    total = np.array([float(v or 0.0) for v in rows.agg(*[F.sum(F.get("u", F.lit(k))) for k in range(width)]).first()])
+
+    def sweep(found: pa.Table, sums: list[np.ndarray]):
+        """Ids and values of the last epoch, a few instances at a time, from the last on. ``sums``, one for each epoch, go on to the block before."""
+        found = found.sort_by("instance_id").combine_chunks()
+        u, has = found["u"].combine_chunks().flatten().to_numpy().reshape(-1, width), found["has"].combine_chunks()
+        degree = u @ total - (u * u).sum(1)
+        v = u * np.where(degree > 0, 1 / np.sqrt(np.where(degree > 0, degree, 1)), 0)[:, None]
+        places = np.searchsorted(known, ones := has.flatten().to_numpy())
+        places = np.where(known[np.minimum(places, many - 1)] == ones, places, -1) if many else places
+        ends = np.concatenate([[0], np.cumsum(has.value_lengths().fill_null(0).to_numpy())])
+        for lo in range((len(v) - 1) // STRIP * STRIP, -1, -STRIP):
+            vs = v[lo : lo + STRIP]
+            at, owners = places[ends[lo] : ends[lo + len(vs)]], np.repeat(np.arange(len(vs)), np.diff(ends[lo : lo + len(vs) + 1]))
+            y = np.zeros((len(vs), sums[0].shape[1]))
+            y[owners[at >= 0], at[at >= 0]] = 1
+            near, now = np.triu(vs @ vs.T, 1), y
+            for s in sums:
+                after = alpha * (vs @ s + near @ now) + (1 - alpha) * y
+                s += vs.T @ now
+                now = after
+            yield found["instance_id"].slice(lo, len(vs)), now
+
+    def change(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+        # Beside the labels, a unit for each feature comes in with the first epoch's sum: what becomes of it is the map.
+        sums = [np.zeros((width, many + width)) for _ in range(epochs)]
+        sums[0][:, many:] = np.eye(width)
+        for _ in sweep(found, sums):
+            pass
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "s": pa.array([np.stack(sums).ravel()], pa.list_(pa.float64()))})
+
+    def values(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [s.copy() for s in coming[key[0].as_py()]]
+        for ids, now in sweep(pa.Table.from_batches(list(batches)), sums):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(now) + 1) * many, pa.int32()), pa.array(now.ravel(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([ids.combine_chunks(), lists], names=["instance_id", "d"])
+
+    coming, sums = {}, np.zeros((epochs, width, many))
+    maps = {r["block"]: np.array(r["s"]).reshape(epochs, width, many + width) for r in rows.groupBy("block").applyInArrow(change, "block int, s array<double>").collect()}
+    for block in sorted(maps, reverse=True):
+        coming[block], own, turn = sums, maps[block][:, :, :many], maps[block][:, :, many:]
+        sums = np.stack([own[e] + sum(turn[e - k] @ sums[k] for k in range(e + 1)) for e in range(epochs)])
+    found = rows.groupBy("block").applyInArrow(values, f"instance_id {rows.schema['instance_id'].dataType.simpleString()}, d array<double>")
     cells = F.arrays_zip(F.array(*map(F.lit, labels)).alias("label_id"), F.col("d").alias("value"))
-    return rows.select("instance_id", F.explode(cells).alias("c")).select("instance_id", "c.label_id", "c.value")
+    return found.select("instance_id", F.explode(cells).alias("c")).select("instance_id", "c.label_id", "c.value")

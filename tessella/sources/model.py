@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.plans.scratch import Scratch
+
 NOMINAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 NUMERIC = (T.FloatType, T.DoubleType)
 
@@ -28,6 +30,8 @@ class MultiLabelFrame:
     instances: DataFrame
     labels: DataFrame
     x: DataFrame | None = None
+    #: What ``hold`` has written: (instance_id, has, listed, described, ...), has being the sorted labels or null.
+    held: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -46,8 +50,39 @@ class MultiLabelFrame:
         kinds = {f.name: f.dataType for f in self.x.schema}
         return [c for c in self.feature_names() if isinstance(kinds[c], NUMERIC)]
 
+    def hold(self) -> MultiLabelFrame:
+        """The same data, read from one written table with a row for each instance.
+
+        What goes over the data more than once begins with this: labels and features are
+        made and brought together once, and stand in the same row from then on. ``listed``
+        and ``described`` say whether the id is among the instances and has features.
+        """
+        if self.held is not None:
+            return self
+        scratch = Scratch(self.spark, "frame")
+        sets = self.y.groupBy("instance_id").agg(F.sort_array(F.collect_list("label_id")).alias("has"))
+        rows = self.instances.withColumn("listed", F.lit(True)).join(sets, "instance_id", "full")
+        if self.x is not None:
+            kept = [F.col(c).alias(f"x_{c}") for c in self.feature_names()]
+            rows = rows.join(self.x.select("instance_id", *kept, F.lit(True).alias("described")), "instance_id", "full")
+        else:
+            rows = rows.withColumn("described", F.lit(False))
+        yes = [F.coalesce(c, F.lit(False)).alias(c) for c in ("listed", "described")]
+        features = [] if self.x is None else [f"x_{c}" for c in self.feature_names()]
+        rows = scratch.table(rows.select("instance_id", "has", *yes, *features), "rows")
+        return replace(self, labels=scratch.table(self.labels, "labels"))._reading(rows)
+
+    def _reading(self, rows: DataFrame) -> MultiLabelFrame:
+        """This frame with all but its labels read from ``rows``."""
+        y = rows.filter("has IS NOT NULL").select("instance_id", F.explode("has").alias("label_id"))
+        x = None if self.x is None else rows.filter("described").select("instance_id", *[F.col(f"x_{c}").alias(c) for c in self.feature_names()])
+        return replace(self, y=y, instances=rows.filter("listed").select("instance_id"), x=x, held=rows)
+
     def labelled(self) -> MultiLabelFrame:
         """Only instances with a label, and their features."""
+        if self.held is not None:
+            listed = F.col("listed") & F.col("has").isNotNull()
+            return self._reading(self.held.withColumns({"listed": listed, "described": F.col("described") & listed}))
         kept = self.instances.join(self.y.select("instance_id").distinct(), "instance_id", "left_semi")
         return replace(self, instances=kept, x=None if self.x is None else self.x.join(kept, "instance_id", "left_semi"))
 
@@ -55,9 +90,11 @@ class MultiLabelFrame:
         """The instances of ``ids``. An id drawn more than once becomes as many instances, numbered by ``draw``."""
         if "draw" in ids.columns:
             pick = lambda df: df.join(ids, "instance_id").drop("instance_id").withColumnRenamed("draw", "instance_id")
-            return replace(self, y=pick(self.y), instances=ids.select(F.col("draw").alias("instance_id")), x=None if self.x is None else pick(self.x))
+            return replace(self, held=None, y=pick(self.y), instances=ids.select(F.col("draw").alias("instance_id")), x=None if self.x is None else pick(self.x))
+        if self.held is not None:
+            return self._reading(self.held.join(ids.select("instance_id"), "instance_id", "left_semi"))
         keep = lambda df: df.join(ids.select("instance_id"), "instance_id", "left_semi")
-        return replace(self, y=keep(self.y), instances=keep(self.instances), x=None if self.x is None else keep(self.x))
+        return replace(self, held=None, y=keep(self.y), instances=keep(self.instances), x=None if self.x is None else keep(self.x))
 
     def check(self) -> MultiLabelFrame:
         """Raise unless y and x speak of the same instances and labels."""
@@ -91,7 +128,8 @@ def from_long(pairs: DataFrame, instance: str, label: str, instances: DataFrame
     _require(pairs, [instance, label])
     dim = _dimension(labels if labels is not None else pairs, label)
     given = pairs.select(F.col(instance).alias("instance_id"), F.col(label).alias("label_name")).filter("label_name IS NOT NULL")
-    y = given.join(dim, "label_name").select("instance_id", "label_id").distinct()
+    # Few names meet many rows: joined by name, all rows of a name would come to one task.
+    y = given.join(F.broadcast(dim), "label_name").select("instance_id", "label_id").distinct()
     ids = (instances if instances is not None else pairs).select(F.col(instance).alias("instance_id")).distinct()
     return MultiLabelFrame(y, ids, dim, x)
 

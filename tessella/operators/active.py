@@ -22,7 +22,7 @@ from tessella.functions.scalar import EPS, EXPONENTS, log_logistic, optimal_step
 from tessella.operators.base import label_counts
 from tessella.operators.params import Params
 from tessella.operators.split import extreme
-from tessella.plans.numbering import ranked
+from tessella.plans.numbering import kth
 from tessella.plans.scratch import Scratch
 from tessella.sources.model import MultiLabelFrame
 
@@ -65,10 +65,19 @@ class ActiveParams:
 
 def standardized(d: MultiLabelFrame) -> DataFrame:
     """(instance_id, v): 1 and the features, centred and scaled."""
+    return d.x.select("instance_id", _scaled(d, ""))
+
+
+def vectors(d: MultiLabelFrame) -> DataFrame:
+    """(instance_id, v, has) of instances with features and labels, from a frame that is held."""
+    return d.held.filter("described AND has IS NOT NULL").select("instance_id", _scaled(d, "x_"), "has")
+
+
+def _scaled(d: MultiLabelFrame, prefix: str) -> Column:
     names = d.feature_names()
     s = d.x.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_samp(c).alias(f"s_{c}") for c in names]).first()
-    v = [F.lit(1.0)] + [(F.col(c).cast("double") - float(s[f"m_{c}"] or 0)) / (float(s[f"s_{c}"] or 0) or 1.0) for c in names]
-    return d.x.select("instance_id", F.array(*v).alias("v"))
+    v = [F.lit(1.0)] + [(F.col(prefix + c).cast("double") - float(s[f"m_{c}"] or 0)) / (float(s[f"s_{c}"] or 0) or 1.0) for c in names]
+    return F.array(*v).alias("v")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -111,16 +120,15 @@ def gradient(rows: DataFrame, weights: dict[int, np.ndarray], loss: str = "log")
                     off = 1 / (1 + np.exp(-z)) - y
             sums, n = sums + off.T @ v, n + len(v)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums.ravel()], pa.list_(pa.float64()))], names=["n", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([[*sums.ravel(), n]], pa.list_(pa.float64()))], names=["sums"])
 
-    # One row for each task of a scan, of labels times features: they are summed place by place on the executors.
-    parts = rows.select("instance_id", "v", "has").mapInArrow(run, "n long, sums array<double>")
-    n = parts.agg(F.sum("n")).first()[0] or 0
+    # One row for each task of a scan, of labels times features and the count: they are summed place by place on the executors, in one pass.
+    parts = rows.select("instance_id", "v", "has").mapInArrow(run, "sums array<double>")
     places = parts.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
-    total = np.zeros(w.size)
+    total = np.zeros(w.size + 1)
     for r in places.collect():
         total[r["at"]] = r["x"]
-    return dict(zip(labels.tolist(), total.reshape(w.shape) / max(n, 1), strict=True))
+    return dict(zip(labels.tolist(), total[:-1].reshape(w.shape) / max(total[-1], 1), strict=True))
 
 
 def l21_gradient(m: np.ndarray) -> np.ndarray:
@@ -144,7 +152,7 @@ def step(rows: DataFrame, weights: dict[int, np.ndarray], epoch: int, params: Ac
 
 
 def _each(rows: DataFrame, weights: dict[int, np.ndarray], score) -> DataFrame:
-    """(instance_id, s): ``score`` of each model's probability and whether the label is there, for batches of instances."""
+    """(instance_id, s): ``score`` of each model's probability and whether the label is there, for batches of instances; other columns stay."""
     labels, w = _matrix(weights)
     read = _batch
 
@@ -153,9 +161,11 @@ def _each(rows: DataFrame, weights: dict[int, np.ndarray], score) -> DataFrame:
             _, z, y = read(batch, labels, w)
             with np.errstate(over="ignore"):
                 s = score(1 / (1 + np.exp(-z)), y)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["instance_id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array(s, pa.float64())], names=["instance_id", *more, "s"])
 
-    return rows.select("instance_id", "v", "has").mapInArrow(run, "instance_id long, s double")
+    more = [c for c in rows.columns if c not in ("instance_id", "v", "has")]
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
+    return rows.select("instance_id", "v", "has", *more).mapInArrow(run, f"instance_id long{kinds}, s double")
 
 
 def entropy(rows: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
@@ -187,9 +197,23 @@ def psp(rows: DataFrame, weights: dict[int, np.ndarray], counts: DataFrame, top_
 
 
 def ads(scores: DataFrame, n: int, percent: float) -> DataFrame:
-    """The most uncertain share of all n instances; of equals the smaller id. Places are found by ranges, not in one task."""
-    placed = ranked(scores.withColumn("_less", -F.col("uncertainty")), [], ["_less", "instance_id"], "_place")
-    return placed.filter(F.col("_place") <= int(percent * n)).select(*scores.columns)
+    """The most uncertain share of all n instances; of equals the smaller id. Only where the share ends is searched for; nothing is sorted."""
+    scores = Scratch(scores.sparkSession, "ads").table(scores, "scores")
+    return scores.filter(_among(scores, int(percent * n)))
+
+
+def _among(scores: DataFrame, k: int) -> Column:
+    """Whether a row is one of the k most uncertain; of equals the smaller id. ``scores``: a written table with ids of one row each."""
+    if k < 1:
+        return F.lit(False)
+    less = scores.select((-F.col("uncertainty")).alias("less"), "instance_id")
+    if (end := kth(less, "less", k)) is None:
+        return F.lit(True)
+    last, before, equal = end
+    if before + equal == k:
+        return F.col("uncertainty") >= -last
+    edge = kth(less.filter(F.col("less") == last), "instance_id", k - before)[0]
+    return (F.col("uncertainty") > -last) | ((F.col("uncertainty") == -last) & (F.col("instance_id") <= edge))
 
 
 def cost(rows: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
@@ -214,10 +238,9 @@ def active(d: MultiLabelFrame, params: Params = Params(num_epochs=5), active_par
     last epoch is split.
     """
     log.info("active split: %s, %s", params, active_params)
-    d = d.labelled()
+    d = d.hold().labelled()
     scratch = Scratch(d.spark, "active")
-    has = d.y.groupBy("instance_id").agg(F.collect_list("label_id").alias("has"))
-    rows = scratch.table(standardized(d).join(has, "instance_id"), "rows")
+    rows = scratch.table(vectors(d), "rows")
     counts = scratch.table(label_counts(d), "counts")
     n, width = d.instances.count(), 1 + len(d.feature_names())
     weights, seen, scores = {}, rows, None
@@ -229,6 +252,7 @@ def active(d: MultiLabelFrame, params: Params = Params(num_epochs=5), active_par
         if scores is not None:
             more = u01(params.seed, f"ads{epoch}", F.col("instance_id")) < active_params.ads_percent
             seen = rows.join(scores.select("instance_id", F.lit(True).alias("_in")), "instance_id", "left").filter(F.col("_in") | more).drop("_in")
+            seen = scratch.table(seen, "seen")
         weights |= step(seen, now, epoch, active_params)
         if active_params.calc_ads or epoch == active_params.num_epochs - 1:
             scores = entropy(seen, weights) if active_params.acquisition_type == "entropy" else psp(seen, weights, counts, active_params.top_k)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.plans.scratch import Scratch
 from tessella.sources.model import MultiLabelFrame
 
 #: The report's rows, in order.
@@ -25,16 +26,25 @@ PROPERTIES = (
 )
 
 
+def _both() -> Column:
+    """The complete data and the row's side, if it has one."""
+    return F.explode(F.array_compact(F.array(F.lit("complete"), F.col("split"))))
+
+
 def _sides(frame: DataFrame, split: DataFrame) -> DataFrame:
     """Each row once for the complete data and once for its side, if it has one."""
-    both = F.explode(F.array_compact(F.array(F.lit("complete"), F.col("split"))))
-    return frame.join(split, "instance_id", "left").withColumn("dataset", both).drop("split")
+    return frame.join(split, "instance_id", "left").withColumn("dataset", _both()).drop("split")
 
 
 def label_frequency(d: MultiLabelFrame, split: DataFrame) -> DataFrame:
     """(label_id, dataset, n) of labels that occur, zeros included."""
     counts = _sides(d.y, split).groupBy("label_id", "dataset").agg(F.count("*").alias("n"))
-    grid = d.y.select("label_id").distinct().withColumn("dataset", F.explode(F.array(*map(F.lit, ("complete", "train", "test")))))
+    return _with_zeros(counts)
+
+
+def _with_zeros(counts: DataFrame) -> DataFrame:
+    """(label_id, dataset, n) of every label that is counted somewhere, on all sides."""
+    grid = counts.select("label_id").distinct().withColumn("dataset", F.explode(F.array(*map(F.lit, ("complete", "train", "test")))))
     return grid.join(counts, ["label_id", "dataset"], "left").select("label_id", "dataset", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -46,7 +56,10 @@ def tails(d: MultiLabelFrame, split: DataFrame, num_tails: int = 2) -> DataFrame
 
 def divergence(d: MultiLabelFrame, split: DataFrame) -> DataFrame:
     """(dataset, kl): how the side's distribution over labels diverges from the complete one, in nats."""
-    f = label_frequency(d, split)
+    return _divergence(label_frequency(d, split))
+
+
+def _divergence(f: DataFrame) -> DataFrame:
     totals = f.groupBy("dataset").agg(F.sum("n").alias("total"))
     share = f.join(totals, "dataset").select("label_id", "dataset", F.try_divide("n", "total").alias("p"))
     whole = share.filter("dataset = 'complete'").select("label_id", F.col("p").alias("q"))
@@ -60,10 +73,15 @@ def properties(d: MultiLabelFrame, split: DataFrame, num_tails: int = 2) -> Data
     Instances are read once and counted for the complete data and their side together.
     Labelsets are counted before anything else is derived from them.
     """
+    d = d.hold()
     n_labels = F.lit(d.labels.count())
-    sets = d.y.groupBy("instance_id").agg(F.sort_array(F.collect_list("label_id")).alias("labelset"))
-    rows = d.instances.join(sets, "instance_id", "left").select("instance_id", F.coalesce("labelset", F.array().cast("array<int>")).alias("labelset"))
-    ls = _sides(rows, split).groupBy("dataset", "labelset").agg(F.count("*").alias("cnt"), F.min("instance_id").alias("first_seen"))
+    # Equal sets on the same side are one row from here on; nothing below sees an instance.
+    placed = d.held.join(split, "instance_id", "left").groupBy("has", "listed", "split").agg(F.count("*").alias("cnt"), F.min("instance_id").alias("first_seen"))
+    placed = Scratch(d.spark, "report").table(placed, "placed")
+    both = placed.withColumn("dataset", _both())
+    ls = both.filter("listed").withColumn("labelset", F.coalesce("has", F.array().cast("array<int>"))).groupBy("dataset", "labelset").agg(F.sum("cnt").alias("cnt"), F.min("first_seen").alias("first_seen"))
+    f = both.filter("has IS NOT NULL").select("dataset", F.explode("has").alias("label_id"), "cnt").groupBy("label_id", "dataset").agg(F.sum("cnt").alias("n"))
+    f = _with_zeros(f)
     sizes = ls.groupBy("dataset").agg(F.sum("cnt").alias("n"), F.sum(F.col("cnt") * F.size("labelset")).alias("ones"), F.count("*").alias("sets"))
 
     every = F.explode(F.array(*map(F.lit, ("complete", "train", "test"))))
@@ -84,7 +102,7 @@ def properties(d: MultiLabelFrame, split: DataFrame, num_tails: int = 2) -> Data
     ratio = F.when(F.col("w") <= 0, 0.0).otherwise(F.coalesce("place", F.lit(0)) / (F.col("w") / n_labels))
     of_sets = w.join(place, "dataset", "left").groupBy("dataset").agg(F.avg(ratio).alias("ir_sets"))
 
-    wide = sizes.join(of_labels, "dataset").join(of_sets, "dataset").join(divergence(d, split), "dataset")
+    wide = sizes.join(of_labels, "dataset").join(of_sets, "dataset").join(_divergence(f), "dataset")
     values = F.array(*[
         v.cast("double")
         for v in (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,23 +47,38 @@ def chain_classifier(d: MultiLabelFrame, split: DataFrame, seed: int = 12345, it
     """
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     scratch = Scratch(d.spark, "chain")
     order = [r["label_id"] for r in d.labels.orderBy(key(seed, "chain", F.col("label_id")), "label_id").select("label_id").collect()]
-    has = d.y.groupBy("instance_id").agg(F.collect_list("label_id").alias("has"))
+    d = d.hold()
     names = d.feature_names()
-    rows = d.x.select("instance_id", *[F.col(c).cast("double").alias(f"x_{k}") for k, c in enumerate(names)]).join(split, "instance_id").join(has, "instance_id", "left")
+    rows = d.held.filter("described").select("instance_id", "has", *[F.col(f"x_{c}").cast("double").alias(f"x_{k}") for k, c in enumerate(names)]).join(split, "instance_id")
+    rows = scratch.table(rows, "placed")  # the scaler goes over them, and then what is written below
     rows = rows.select("*", *[F.coalesce(F.array_contains("has", i).cast("double"), F.lit(0.0)).alias(f"y_{i}") for i in order]).drop("has")
     rows = VectorAssembler(inputCols=[f"x_{k}" for k in range(len(names))], outputCol="raw").transform(rows)
     rows = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(rows).transform(rows)
     rows = scratch.table(rows.select("instance_id", "split", "x", *[f"y_{i}" for i in order]), "rows")
-    train, guessed = rows.filter("split = 'train'"), rows.select("instance_id", "split", "x")
+    scratch.keep(rows)
+    train, models = rows.filter("split = 'train'"), []
     for k, label in enumerate(order):
         before = order[:k]
         fit = VectorAssembler(inputCols=["x", *[f"y_{i}" for i in before]], outputCol="features")
-        use = VectorAssembler(inputCols=["x", *[f"p_{i}" for i in before]], outputCol="features")
-        model = LinearSVC(labelCol=f"y_{label}", maxIter=iterations, predictionCol=f"p_{label}").fit(fit.transform(train))
-        guessed = scratch.table(model.transform(use.transform(guessed)).select("instance_id", "split", "x", *[f"p_{i}" for i in order[: k + 1]]), "guessed")
-    scratch.keep(guessed)
-    cells = F.array(*[F.struct(F.lit(i).alias("label_id"), F.col(f"p_{i}").alias("p")) for i in order])
-    return guessed.select("instance_id", "split", F.explode(cells).alias("c")).filter("c.p > 0").select("instance_id", "c.label_id", "split")
+        model = LinearSVC(labelCol=f"y_{label}", maxIter=iterations).fit(fit.transform(train))
+        models.append((model.coefficients.toArray(), float(model.intercept)))
+
+    # Models are fitted on true labels, so none waits for predictions: the whole chain is predicted in one pass.
+    def predict(batches):
+        for batch in batches:
+            x = batch.column(2).flatten().to_numpy().reshape(-1, len(names))
+            p = np.zeros((len(x), len(order)))
+            for k, (w, b) in enumerate(models):
+                p[:, k] = x @ w[: len(names)] + p[:, :k] @ w[len(names) :] + b > 0
+            ones, labels = np.nonzero(p)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(ones, minlength=len(x)))])
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(order)[labels], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["instance_id", "split", "labels"])
+
+    kind = rows.schema["instance_id"].dataType.simpleString()
+    guessed = rows.select("instance_id", "split", vector_to_array("x").alias("x")).mapInArrow(predict, f"instance_id {kind}, split string, labels array<int>")
+    return guessed.select("instance_id", F.explode("labels").alias("label_id"), "split")

@@ -193,7 +193,7 @@ def instance_clusters(d: MultiLabelFrame, params: Params) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    d = d.hold()
+    # Starts of k-means depend on how rows are partitioned, so they are the features' own and not those of a held frame.
     weights, _ = projection(d, params)
     z = project(d, weights).select("instance_id", array_to_vector("z").alias("features"))
     model = KMeans(k=params.num_clusters, initMode="k-means||", maxIter=params.num_epochs, seed=params.seed).fit(z)

@@ -86,6 +86,35 @@ def test_long_pieces_are_not_remembered(library):
     assert all(max(map(len, memory)) <= pieces.LONGEST for memory in (counter, codec, words.known))
 
 
+def test_a_piece_of_many_words_is_encoded_once(library, monkeypatch):
+    """Words of 40 stems and 40 endings, some beyond the explicit classes, in small blocks, and with a memory that is begun anew."""
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.n = inner, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.n += sum(map(len, texts))
+            return self.inner.encode_batch_fast(texts, **how)
+
+    stems = [f"{a}{b}orenthal" for a in "bcdfg" for b in "aeiouyxz"]
+    words = [f"{s}{sign}{t}" for s in stems for sign in ("", ".\n", "&&&") for t in stems]
+    texts = [" ".join(["x", *words[k : k + 60]]) for k in range(0, len(words), 60)]
+    flat, n = (coder := token_store.LibraryIds(_source("byte_bpe_50k.json"))).encode(pa.array(texts[:1]))
+    coder.file.library = counted = Counted(coder.file.library)
+    flat, n = coder.encode(pa.array(texts))
+    want = [library["byte_bpe_50k.json"].encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want
+    assert counted.n < 0.6 * sum(map(len, texts))
+
+    monkeypatch.setattr(token_store, "BLOCK", 7)
+    monkeypatch.setattr(token_store, "PIECES", 50)
+    mixed = [f"{t} 日本{k} {'ab' * 40} don't\n\n é{k}." for k, t in enumerate(texts[:20])]
+    flat, n = coder.encode(pa.array(mixed))
+    want = [library["byte_bpe_50k.json"].encode(t, add_special_tokens=False).ids for t in mixed]
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want and len(coder.known) <= 50 + 40 * 7
+
+
 def test_encode_and_decode_frames(spark, docs_of):
     docs = docs_of([(1, "one two"), (2, None), (3, "<|endoftext|>é")])
     path = pieces.public_path("byte_bpe_50k.json")

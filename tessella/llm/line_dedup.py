@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, fresh, states_before, text_of, words_of
+from tessella.llm.common import Scratch, fresh, states_before, text_of
 
 #: Words from which on a line may be an edit away from another.
 MIN_WORDS = 5
@@ -30,6 +30,10 @@ MIN_WORDS = 5
 NO_ID = -(2**63)
 _LINES = 2**31
 
+#: White space that stands within a line, but for the blank, and runs that aren't one blank already.
+_OTHER_BLANKS = "\t\v\f\r"
+_RUNS = r"\x20*[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20{2,}"
+
 
 def place(doc_id: Column, line_no: Column) -> Column:
     """A number that orders lines by doc_id, null first, and place; a number, so that its minimum is found by hashing."""
@@ -41,12 +45,22 @@ def doc_of(at: Column) -> Column:
     return F.floor((at - F.pmod(at, F.lit(_LINES).cast("decimal(11,0)"))) / F.lit(_LINES).cast("decimal(11,0)")).cast("long")
 
 
+def single_blanks(text: Column) -> Column:
+    """The text with one blank for each run of white space within a line. Only texts that have other runs meet the pattern."""
+    odd = F.contains(text, F.lit("  "))
+    for c in _OTHER_BLANKS:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.regexp_replace(text, _RUNS, " ")).otherwise(text)
+
+
 def lines_of(docs: DataFrame, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, n, norm) of the lines with so many words: their number, and the words with single blanks between."""
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    split = picked.select("doc_id", F.transform(F.split(F.lower("text"), "\n"), lambda x: words_of(x)).alias("lines"))
-    each = F.transform("lines", lambda w, i: F.when(F.size(w) >= min_words, F.struct(i.alias("line_no"), F.size(w).alias("n"), F.array_join(w, " ").alias("norm"))))
-    return split.select("doc_id", F.explode(F.array_compact(each)).alias("x")).select("doc_id", "x.line_no", "x.n", "x.norm")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_of(text_col)).alias("text"))
+    each = picked.select("doc_id", F.posexplode(F.split(single_blanks(F.col("text")), "\n")).alias("line_no", "line"))
+    each = each.select("doc_id", "line_no", F.trim("line").alias("norm")).filter("norm <> ''")
+    n = (F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("int")
+    each = each.select("doc_id", "line_no", n.alias("n"), "norm")
+    return each.filter(F.col("n") >= min_words) if min_words > 1 else each
 
 
 def digest(norm: Column) -> Column:

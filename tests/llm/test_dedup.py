@@ -1,6 +1,7 @@
 """Exact, near and line dedup against direct restatements."""
 
 import random
+import re
 
 import pytest
 
@@ -225,6 +226,25 @@ def test_short_repeats_go(spark, docs_of):
     assert found == {1: ("", 0, 0), 2: ("0,1", 2, 0), 3: ("0", 1, 0)}
 
 
+def test_words_of_lines_are_told_by_any_white_space(spark, docs_of):
+    """Lines are those of a pattern for each line; without other white space than single blanks and line feeds none is run."""
+    rng = random.Random(4)
+    made = {1: None, 2: "", 3: " \n\n  \t", 4: "a  b\tc \r\nd\x0be\x0cf \n\x0b\n g", 5: "\ta b ", 6: "É É\xa0x\u2003y\x85z\x1cw"}
+    made |= {10 + i: "".join(rng.choice(["a", "B", "é", " ", " ", "\n", "\t", "\x0b", "\x0c", "\r", "\xa0", "  "]) for _ in range(20)) for i in range(400)}
+    made |= {500 + i: "".join(rng.choice(["a", "bc", " ", "\n"]) for _ in range(8)) for i in range(200)}
+    lines = line_dedup.lines_of(docs_of([*made.items()]))
+    want = set()
+    for i, text in made.items():
+        for k, line in enumerate((text or "").lower().split("\n")):
+            if words := [w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]:
+                want.add((i, k, len(words), " ".join(words)))
+    assert {tuple(r) for r in lines.collect()} == want
+    assert {tuple(r) for r in line_dedup.lines_of(docs_of([*made.items()]), 3).collect()} == {x for x in want if x[2] >= 3}
+    # No function that calls itself for each word or line: the plan is generated code throughout.
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("split(") == 1
+
+
 def test_long_lines(spark, docs_of):
     """A line of 30000 words with one replaced: the passes over a line are linear in its words."""
     words = [f"w{k}" for k in range(30_000)]
